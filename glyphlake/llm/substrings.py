@@ -384,6 +384,43 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def whole_characters(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans shrunk to whole UTF-8 characters, so that what is left is a text."""
+    b = np.append(np.frombuffer(data, np.uint8), 0)
+    starts, ends = starts.copy(), ends.copy()
+    for _ in range(3):
+        starts += (b[starts] & 0xC0) == 0x80
+        ends -= (b[ends] & 0xC0) == 0x80
+    on = ends > starts
+    return starts[on], ends[on]
+
+
+def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``docs`` with the repeated passages cut out of ``text`` and ``n_chars`` (where there is one) counted anew.
+
+    Its own columns in their order; a null text stays null. Rows that lose nothing keep what they have.
+    """
+    spans = repeated_spans(docs, depth).withColumnRenamed("doc_id", "_span_doc")
+    both = docs.join(spans, docs["doc_id"] == spans["_span_doc"], "left").select(*[docs[c] for c in docs.columns], spans["spans"].alias("_spans"))
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, spans = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            for k, x in enumerate(spans):
+                if x and texts[k] is not None:
+                    data = _bytes(texts[k])
+                    texts[k] = cut(data, *whole_characters(data, *_union(x))).decode("utf-8", "surrogatepass")
+            columns = [b.column(k) for k in range(b.num_columns - 1)]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+
+    out = both.mapInArrow(run, schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(schema["n_chars"].dataType), F.col("n_chars")))
+    return out
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
