@@ -1,5 +1,436 @@
 """Registered queries of the engine's own operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphlake.functions import text as T
+from glyphlake.operators import bpe, budgets, cipher, models, ngrams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "bigram_mle"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.lines(table(spark, sf_dir, "documents"))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.accepted(doc_rows(spark, sf_dir))
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus(spark, sf_dir).select("doc_id", "line_no", ngrams.letters(F.col("line")).alias("seq"))
+
+
+r6 = lambda c: F.round(c, 6)
+
+LINES = "l AS (SELECT doc_id, (i - 1)::INTEGER AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+WORDS = LINES + r""",
+w AS (SELECT doc_id, line_no, list_filter(list_transform(string_split_regex(lower(regexp_replace(line, '^\s+|\s+$', '', 'g')), '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '') AS raw FROM l)"""
+NORM = WORDS + r""",
+k AS (SELECT doc_id, line_no, list_transform(raw, lambda x: CASE WHEN len(list_filter(range(1, length(x) - 1), lambda i: x[i] = x[i+1] AND x[i+1] = x[i+2])) > 0 OR NOT regexp_full_match(x, '\p{Latin}+') THEN '<unk>' ELSE x END) AS ws FROM w),
+n AS (SELECT doc_id, line_no, coalesce(array_to_string(ws, ' '), '') AS line, len(ws)::BIGINT AS n_words,
+  CASE WHEN len(ws) < 5 THEN 'short' WHEN len(list_filter(ws, lambda x: x = '<unk>')) / len(ws) >= 0.2 THEN 'oov'
+       WHEN len(list_filter(range(1, len(ws) - 1), lambda i: (length(ws[i]) = 1 OR ws[i] = '<unk>') AND length(ws[i+1]) = 1 AND (length(ws[i+2]) = 1 OR ws[i+2] = '<unk>'))) > 0 THEN 'single_letters'
+       WHEN len(list_filter(range(1, len(ws) - 2), lambda i: ws[i] <> '<unk>' AND ws[i] = ws[i+1] AND ws[i+1] = ws[i+2])) > 0 THEN 'repeats' END AS reason FROM k),
+c AS (SELECT doc_id, line_no, line, n_words FROM n WHERE reason IS NULL)"""
+SEQ = NORM + r""",
+q AS (SELECT doc_id, line_no, '_' || regexp_replace(trim(replace(line, '<unk>', '')), ' +', '_', 'g') || '_' AS s FROM c)"""
+
+
+def _ngram_cte(name: str, order: int) -> str:
+    return f"{name} AS (SELECT s[i : i + {order - 2}] AS ctx, s[i + {order - 1}] AS sym, count(*)::BIGINT AS n FROM (SELECT s, unnest(range(1, length(s) - {order - 2})) AS i FROM q) GROUP BY ALL)" if order > 1 else f"{name} AS (SELECT '' AS ctx, s[i] AS sym, count(*)::BIGINT AS n FROM (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM q) GROUP BY ALL)"
+
+
+@query(f"WITH {LINES} SELECT * FROM l")
+def doc_lines(spark, d):
+    return doc_rows(spark, d)
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, lower(nfc_normalize(regexp_replace(line, '^\\s+|\\s+$', '', 'g'))) AS line FROM l")
+def canon_lines(spark, d):
+    return doc_rows(spark, d).select("doc_id", "line_no", T.canonical(F.col("line")).alias("line"))
+
+
+@query(f"WITH {NORM} SELECT doc_id, line_no, line, n_words FROM c")
+def normalized_corpus(spark, d):
+    return corpus(spark, d)
+
+
+@query(f"WITH {NORM} SELECT coalesce(reason, 'accepted') AS reason, count(*)::BIGINT AS n_lines, sum(n_words)::BIGINT AS n_words FROM n GROUP BY 1")
+def reject_reasons(spark, d):
+    return T.normalise(doc_rows(spark, d)).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n_lines"), F.sum("n_words").alias("n_words"))
+
+
+@query(f"WITH {WORDS} SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(raw) AS word FROM w) WHERE len(list_filter(range(1, length(word) - 1), lambda i: word[i] = word[i+1] AND word[i+1] = word[i+2])) > 0 GROUP BY word")
+def triple_letter_words(spark, d):
+    words = doc_rows(spark, d).select(F.explode(T.words(F.lower("line"))).alias("word"))
+    return words.where(T.has_triple(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {NORM}, ch AS (SELECT unnest(string_split(replace(replace(line, '<unk>', ''), ' ', ''), '')) AS ch FROM c), g AS (SELECT ch, count(*)::BIGINT AS n FROM ch WHERE ch <> '' GROUP BY ch) SELECT ch, n, round(n / sum(n) OVER (), 6) AS share FROM g QUALIFY n / sum(n) OVER () >= 1e-4")
+def alphabet(spark, d):
+    return T.alphabet(corpus(spark, d)).select("ch", "n", r6("share").alias("share"))
+
+
+@query(f"WITH {NORM} SELECT doc_id, line_no, n_words FROM c QUALIFY coalesce(sum(n_words) OVER (ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 50000")
+def word_budget_prefix(spark, d):
+    return budgets.ordered_prefix(corpus(spark, d).select("doc_id", "line_no", "n_words"), "doc_id", ["line_no"], "n_words", 50_000)
+
+
+@query(f"WITH {NORM}, m AS (SELECT doc_id, line_no, length(replace(replace(line, '<unk>', ''), ' ', ''))::BIGINT AS n_letters FROM c) SELECT * FROM m QUALIFY coalesce(sum(n_letters) OVER (ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1000000")
+def char_budget_prefix(spark, d):
+    letters = corpus(spark, d).select("doc_id", "line_no", F.length(F.replace(F.replace("line", F.lit(T.UNK), F.lit("")), F.lit(" "), F.lit(""))).cast("long").alias("n_letters"))
+    return budgets.ordered_prefix(letters, "doc_id", ["line_no"], "n_letters", 1_000_000)
+
+
+@query("SELECT doc_id, n_chars FROM documents SEMI JOIN labels USING (doc_id) QUALIFY coalesce(sum(n_chars) OVER (ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60000")
+def duration_budget_sample(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_semi").select("doc_id", "n_chars")
+    return budgets.shortest_first(docs, "doc_id", "n_chars", 60_000)
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 300")
+def purchase_budget_per_user(spark, d):
+    return budgets.grouped_prefix(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "value", 300).select("event_id", "user_id")
+
+
+@query(f"WITH {NORM} SELECT word, count(*)::BIGINT AS freq FROM (SELECT unnest(string_split(line, ' ')) AS word FROM c) WHERE word <> '<unk>' AND word <> '' GROUP BY word")
+def vocab_counts(spark, d):
+    return bpe.word_counts(corpus(spark, d))
+
+
+def event_symbols(spark, d) -> DataFrame:
+    names = table(spark, d, "events").select("event_type").distinct()
+    return names.select("event_type", (F.row_number().over(Window.orderBy("event_type")) + 1).cast("int").alias("id"))
+
+
+EVENT_SYM = "s AS (SELECT event_type, (row_number() OVER (ORDER BY event_type) + 1)::INTEGER AS id FROM (SELECT DISTINCT event_type FROM events))"
+
+
+def encoded_events(spark, d) -> DataFrame:
+    rows = table(spark, d, "events").join(F.broadcast(event_symbols(spark, d)), "event_type")
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "id")))
+    return rows.groupBy("user_id").agg(F.transform(ordered, lambda x: x["id"]).alias("syms"))
+
+
+@query(f"WITH {EVENT_SYM} SELECT user_id, string_agg(id::VARCHAR, ' ' ORDER BY ts, event_id) AS syms FROM events JOIN s USING (event_type) GROUP BY user_id")
+def symbol_encode(spark, d):
+    return encoded_events(spark, d).select("user_id", F.array_join(F.transform("syms", lambda x: x.cast("string")), " ").alias("syms"))
+
+
+@query("SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS names FROM events GROUP BY user_id")
+def symbol_decode(spark, d):
+    flat = encoded_events(spark, d).select("user_id", F.posexplode("syms").alias("pos", "id")).join(F.broadcast(event_symbols(spark, d)), "id")
+    return flat.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "event_type"))), lambda x: x["event_type"]), " ").alias("names"))
+
+
+@query("WITH x AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, event_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS run FROM x WHERE p IS DISTINCT FROM event_type")
+def adjacent_dedup_runs(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").withColumn("_p", F.lag("event_type").over(w)).where(~F.col("_p").eqNullSafe(F.col("event_type")))
+    return rows.select("user_id", "event_id", "event_type", (F.row_number().over(w) - 1).alias("run"))
+
+
+@query(f"WITH {NORM}, m AS (SELECT doc_id, line_no, replace(line, 'tion', '@@ tion') AS t FROM c) SELECT doc_id, line_no, regexp_replace(t, '@@ +', '@@ @@', 'g') AS marked, replace(regexp_replace(t, '@@ +', '@@ @@', 'g'), '@@ @@', '') AS plain FROM m")
+def double_mark_detokenise(spark, d):
+    rows = corpus(spark, d).select("doc_id", "line_no", T.double_mark(F.replace("line", F.lit("tion"), F.lit("@@ tion"))).alias("marked"))
+    return rows.withColumn("plain", T.detokenise(F.col("marked")))
+
+
+@query(r"SELECT conv_id, turn, 'sil ' || array_to_string(list_transform(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '(.)', '\1 ', 'g') || 'sil'), ' ') AS pron FROM conversations")
+def grapheme_pron_with_sil(spark, d):
+    ws = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("sil "), F.array_join(F.transform(ws, lambda w: F.concat(F.regexp_replace(w, "(.)", "$1 "), F.lit("sil"))), " ")).alias("pron"))
+
+
+@query(f"WITH {NORM}, t AS (SELECT DISTINCT unnest(string_split(regexp_replace(replace(line, 'tion', '@@ tion@@ '), '@@ +', '@@ @@', 'g'), ' ')) AS token FROM c) SELECT token, CASE WHEN starts_with(token, '@@') AND ends_with(token, '@@') THEN 'I' WHEN starts_with(token, '@@') THEN 'E' WHEN ends_with(token, '@@') THEN 'B' ELSE 'S' END AS position FROM t WHERE token <> ''")
+def subword_positions(spark, d):
+    tokens = corpus(spark, d).select(F.explode(F.split(T.double_mark(F.replace("line", F.lit("tion"), F.lit("@@ tion@@ "))), " ")).alias("token")).where("token <> ''").distinct()
+    return tokens.select("token", T.subword_position(F.col("token")).alias("position"))
+
+
+def _ngram_query(order: int):
+    def f(spark, d):
+        return ngrams.ngrams(sequences(spark, d), order)
+
+    f.__name__ = f"ngram_counts_{order}"
+    query(f"WITH {SEQ}, {_ngram_cte('g', order)} SELECT ctx, sym, n FROM g")(f)
+
+
+for _order in range(1, 6):
+    _ngram_query(_order)
+
+
+@query(f"WITH {SEQ}, {_ngram_cte('g', 2)} SELECT ctx, sym, n, round(n / sum(n) OVER (PARTITION BY ctx), 6) AS p FROM g")
+def bigram_mle(spark, d):
+    return ngrams.mle(ngrams.ngrams(sequences(spark, d), 2)).select("ctx", "sym", "n", r6("p").alias("p"))
+
+
+@query(f"WITH {SEQ}, {_ngram_cte('b', 2)}, {_ngram_cte('u', 1)}, pu AS (SELECT sym, (n + 1) / ((SELECT sum(n) FROM u) + (SELECT count(*) FROM u)) AS p FROM u) SELECT ctx, sym, round((n + count(*) OVER (PARTITION BY ctx) * p) / (sum(n) OVER (PARTITION BY ctx) + count(*) OVER (PARTITION BY ctx)), 6) AS p FROM b JOIN pu USING (sym)")
+def witten_bell_bigram(spark, d):
+    seq = sequences(spark, d)
+    return ngrams.witten_bell(ngrams.ngrams(seq, 2), ngrams.ngrams(seq, 1)).select("ctx", "sym", r6("p").alias("p"))
+
+
+@query(f"WITH {SEQ}, {_ngram_cte('b', 2)} SELECT sym, count(*)::BIGINT AS n_left FROM b GROUP BY sym")
+def kn_continuation_counts(spark, d):
+    return ngrams.continuation_counts(ngrams.ngrams(sequences(spark, d), 2))
+
+
+@query(f"""WITH {SEQ}, {_ngram_cte('b', 2)}, kk AS (SELECT count(*) FILTER (n = 1)::DOUBLE AS n1, count(*) FILTER (n = 2)::DOUBLE AS n2, count(*) FILTER (n = 3)::DOUBLE AS n3, count(*) FILTER (n = 4)::DOUBLE AS n4 FROM b),
+y AS (SELECT greatest(0, coalesce(1 - 2 * n1 / (n1 + 2 * n2) * n2 / nullif(n1, 0), 0)) AS d1, greatest(0, coalesce(2 - 3 * n1 / (n1 + 2 * n2) * n3 / nullif(n2, 0), 0)) AS d2, greatest(0, coalesce(3 - 4 * n1 / (n1 + 2 * n2) * n4 / nullif(n3, 0), 0)) AS d3 FROM kk),
+lo AS (SELECT sym, count(*) / (SELECT count(*) FROM b) AS low FROM b GROUP BY sym),
+x AS (SELECT ctx, sym, n, CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS d FROM b, y)
+SELECT ctx, sym, round(greatest(n - d, 0) / sum(n) OVER (PARTITION BY ctx) + sum(d) OVER (PARTITION BY ctx) / sum(n) OVER (PARTITION BY ctx) * low, 6) AS p FROM x JOIN lo USING (sym)""")
+def kn_interpolated_bigram(spark, d):
+    return ngrams.kneser_ney(ngrams.ngrams(sequences(spark, d), 2)).select("ctx", "sym", r6("p").alias("p"))
+
+
+@query(f"WITH {SEQ}, {_ngram_cte('g', 4)} SELECT ctx, sum(n)::BIGINT AS n FROM g GROUP BY ctx ORDER BY n DESC, ctx LIMIT 1000")
+def topn_extra_contexts(spark, d):
+    return ngrams.extra_contexts(ngrams.ngrams(sequences(spark, d), 4), 1000)
+
+
+TRI = f"{_ngram_cte('t1', 1)}, {_ngram_cte('t2', 2)}, {_ngram_cte('t3', 3)}, p1 AS (SELECT sym, n / sum(n) OVER () AS p FROM t1), p2 AS (SELECT ctx, sym, n / sum(n) OVER (PARTITION BY ctx) AS p FROM t2), p3 AS (SELECT ctx, sym, n / sum(n) OVER (PARTITION BY ctx) AS p FROM t3)"
+SCORED = r"""ql AS (SELECT conv_id, turn, '_' || regexp_replace(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' +', '_', 'g') || '_' AS s FROM conversations),
+g AS (SELECT conv_id, turn, s[i : i + 1] AS ctx, s[i + 2] AS sym FROM (SELECT conv_id, turn, s, unnest(range(1, length(s) - 1)) AS i FROM ql)),
+sc AS (SELECT g.*, coalesce(p3.p, 0.4 * p2.p, 0.16 * p1.p, 1e-7)::DOUBLE AS p FROM g LEFT JOIN p3 ON p3.ctx = g.ctx AND p3.sym = g.sym LEFT JOIN p2 ON p2.ctx = g.ctx[2] AND p2.sym = g.sym LEFT JOIN p1 ON p1.sym = g.sym)"""
+
+
+def _chat_grams(spark, d, order: int = 3) -> DataFrame:
+    s = F.concat(F.lit("_"), F.regexp_replace(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " +", "_"), F.lit("_"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", s.alias("s")).where(F.length("s") >= order)
+    runs = F.transform(F.sequence(F.lit(1), F.length("s") - order + 1), lambda i: F.struct(F.col("s").substr(i, F.lit(order - 1)).alias("ctx"), F.col("s").substr(i + order - 1, F.lit(1)).alias("sym")))
+    return rows.select("conv_id", "turn", F.explode(runs).alias("g")).select("conv_id", "turn", "g.ctx", "g.sym")
+
+
+@query(f"WITH {SEQ}, {TRI}, {SCORED} SELECT conv_id, turn, count(*)::BIGINT AS n, round(sum(ln(p)), 4) AS logp FROM sc GROUP BY ALL")
+def backoff_score(spark, d):
+    tables = ngrams.backoff_tables(sequences(spark, d), 3)
+    return ngrams.backoff_score(_chat_grams(spark, d), tables).groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.round(F.sum(F.ln("p")), 4).alias("logp"))
+
+
+@query(f"WITH {SEQ}, {_ngram_cte('b', 2)}, p AS (SELECT ctx, sym, n / sum(n) OVER (PARTITION BY ctx) AS p FROM b), g AS (SELECT lang, s[i] AS ctx, s[i + 1] AS sym FROM (SELECT lang, s, unnest(range(1, length(s))) AS i FROM q JOIN documents USING (doc_id))) SELECT lang, count(*)::BIGINT AS n, round(exp(-avg(ln(p))), 4) AS perplexity FROM g JOIN p USING (ctx, sym) GROUP BY lang")
+def perplexity_by_lang(spark, d):
+    seq = sequences(spark, d)
+    by_lang = seq.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    pairs = by_lang.select("lang", F.explode(F.zip_with(F.slice("seq", F.lit(1), F.size("seq") - 1), F.slice("seq", F.lit(2), F.size("seq") - 1), lambda a, b: F.struct(a.alias("ctx"), b.alias("sym")))).alias("g")).groupBy("lang", "g.ctx", "g.sym").agg(F.count("*").alias("k"))
+    p = ngrams.mle(ngrams.ngrams(seq, 2)).select("ctx", "sym", "p")
+    return pairs.join(p, ["ctx", "sym"]).groupBy("lang").agg(F.sum("k").alias("n"), F.round(F.exp(-F.sum(F.col("k") * F.ln("p")) / F.sum("k")), 4).alias("perplexity"))
+
+
+VOCAB = "v AS (SELECT word, count(*)::BIGINT AS freq FROM (SELECT unnest(string_split(line, ' ')) AS word FROM c) WHERE word <> '<unk>' AND word <> '' GROUP BY word)"
+
+
+@query(f"WITH {NORM}, {VOCAB}, x AS (SELECT word[i] AS lft, word[i + 1] || CASE WHEN i + 1 = length(word) THEN '</w>' ELSE '' END AS rgt, freq FROM (SELECT word, freq, unnest(range(1, length(word))) AS i FROM v)) SELECT lft, rgt, sum(freq)::BIGINT AS n FROM x GROUP BY ALL")
+def bpe_pair_counts(spark, d):
+    return bpe.pair_counts(bpe.word_counts(corpus(spark, d)))
+
+
+@query()
+def bpe_learn(spark, d):
+    merges = bpe.learn(bpe.word_counts(corpus(spark, d)), 200)
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, lft string, rgt string")
+
+
+@query()
+def bpe_apply(spark, d):
+    rows = corpus(spark, d).select("doc_id", "line_no", "line")
+    return bpe.apply(rows, bpe.learn(bpe.word_counts(rows), 200)).select("doc_id", "line_no", "tokenised")
+
+
+LEX = "raw AS (SELECT r::INTEGER AS restart, s::INTEGER AS src, t::INTEGER AS tgt, CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE (('0x' || substr(md5(r || '/' || t || '/' || s), 1, 8))::BIGINT::DOUBLE + 1) / 4294967296.0::DOUBLE END AS u FROM range(1, 6) a(r), range(2, 31) b(t), range(2, 40) c(s)), lex AS (SELECT restart, src, tgt, u / sum(u) OVER (PARTITION BY restart, tgt) AS p FROM raw)"
+
+
+@query(f"WITH {LEX} SELECT restart, src, tgt, round(-ln(p), 6) AS cost FROM lex")
+def lexical_model(spark, d):
+    return models.lexical(spark, 40, 30, 5).select("restart", "src", "tgt", r6(-F.ln("p")).alias("cost"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, '{k}', {-math.log(p) + 0.0:.6f}::DOUBLE)" for a, b, k, p in (
+    (0, 1, "start", 1), (0, 1, "read_silence", 1), (1, 2, "match", 0.8), (2, 2, "match", 0.8), (3, 2, "match", 0.9), (4, 2, "match", 1), (5, 2, "match", 0.9), (6, 2, "match", 1),
+    *((s, 1, k, 1) for s in (2, 3, 4, 5, 6) for k in ("read_silence", "insert_silence")), (2, 3, "insert", 0.1), (3, 4, "insert", 0.1), (2, 5, "delete", 0.1), (5, 6, "delete", 0.1))) + ") t(src, dst, kind, cost)")
+def alignment_arcs(spark, d):
+    return models.alignment_frame(spark, 30).select("src", "dst", "kind", r6("cost").alias("cost"))
+
+
+@query(f"WITH {LEX}, k AS (SELECT * FROM lex WHERE restart = 2 QUALIFY rank() OVER (PARTITION BY src ORDER BY p DESC) <= 5 OR rank() OVER (PARTITION BY tgt ORDER BY p DESC) <= 5 OR tgt = 30) SELECT src, tgt, round(p / sum(p) OVER (PARTITION BY tgt), 6) AS p FROM k")
+def lex_prune_topk(spark, d):
+    return models.prune_top(models.lexical(spark, 40, 30, 2).where("restart = 2"), 5, 30).select("src", "tgt", r6("p").alias("p"))
+
+
+@query(f"WITH {LEX} SELECT src, tgt, round(0.1 / 39 + 0.9 * CASE WHEN p > 0.03 THEN p ELSE 0 END, 6) AS p FROM lex WHERE restart = 2")
+def lex_smooth(spark, d):
+    return models.smooth(models.lexical(spark, 40, 30, 2).where("restart = 2 and p > 0.03"), 40, 30).select("src", "tgt", r6("p").alias("p"))
+
+
+#: A two-state chain over the five event types; probabilities are fixed values.
+HMM_START, HMM_STEP = [0.6, 0.4], [[0.7, 0.3], [0.2, 0.8]]
+HMM_EMIT = [[0.3, 0.25, 0.2, 0.15, 0.1], [0.1, 0.15, 0.2, 0.25, 0.3]]
+
+
+def _hmm(spark, d, viterbi: bool) -> DataFrame:
+    emit = F.array(*[F.array(*map(F.lit, row)) for row in HMM_EMIT])
+    e = lambda k, s: F.get(F.get(emit, F.lit(k)), s - 2)
+
+    def step(a, s):
+        out = []
+        for k in (0, 1):
+            x, y = a["a0"] * HMM_STEP[0][k], a["a1"] * HMM_STEP[1][k]
+            out.append((F.greatest(x, y) if viterbi else x + y) * e(k, s))
+        z = out[0] + out[1]
+        return F.struct((out[0] / z).alias("a0"), (out[1] / z).alias("a1"), (a["ll"] + F.ln(z)).alias("ll"))
+
+    z0 = HMM_START[0] * e(0, F.get("syms", F.lit(0))) + HMM_START[1] * e(1, F.get("syms", F.lit(0)))
+    first = F.struct((HMM_START[0] * e(0, F.get("syms", F.lit(0))) / z0).alias("a0"), (HMM_START[1] * e(1, F.get("syms", F.lit(0))) / z0).alias("a1"), F.ln(z0).alias("ll"))
+    done = F.aggregate(F.slice("syms", F.lit(2), F.size("syms")), first, step, lambda a: a["ll"] + F.ln(F.greatest(a["a0"], a["a1"]) if viterbi else a["a0"] + a["a1"]))
+    return encoded_events(spark, d).select("user_id", F.round(done, 4).alias("loglik"))
+
+
+def _hmm_sql(viterbi: bool) -> str:
+    agg = "greatest" if viterbi else "+"
+    both = lambda x, y: f"greatest({x}, {y})" if viterbi else f"({x} + {y})"
+    del agg
+    e = lambda k: f"([{', '.join(map(str, HMM_EMIT[k]))}])[syms[t + 1] - 1]"
+    new = [f"{both(f'a0 * {HMM_STEP[0][k]}', f'a1 * {HMM_STEP[1][k]}')} * {e(k)}" for k in (0, 1)]
+    return f"""WITH RECURSIVE {EVENT_SYM}, o AS (SELECT user_id, list(id ORDER BY ts, event_id) AS syms FROM events JOIN s USING (event_type) GROUP BY user_id),
+f AS (SELECT user_id, syms, 1 AS t, (0.6 * ([{', '.join(map(str, HMM_EMIT[0]))}])[syms[1] - 1])::DOUBLE AS a0, (0.4 * ([{', '.join(map(str, HMM_EMIT[1]))}])[syms[1] - 1])::DOUBLE AS a1, 0::DOUBLE AS ll FROM o
+UNION ALL SELECT user_id, syms, t + 1, b0 / (b0 + b1), b1 / (b0 + b1), ll + ln(b0 + b1) FROM (SELECT user_id, syms, t, ll, ({new[0]})::DOUBLE AS b0, ({new[1]})::DOUBLE AS b1 FROM f WHERE t < len(syms)))
+SELECT user_id, round(ll + ln({both('a0', 'a1')}), 4) AS loglik FROM f WHERE t = len(syms)"""
+
+
+@query(_hmm_sql(False))
+def forward_loglik(spark, d):
+    return _hmm(spark, d, False)
+
+
+@query(_hmm_sql(True))
+def viterbi_loglik(spark, d):
+    return _hmm(spark, d, True)
+
+
+SLOTS = "h AS (SELECT user_id, date_trunc('day', ts) AS slot, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL), p AS (SELECT user_id, slot, event_type, n / sum(n) OVER (PARTITION BY user_id, slot) AS post FROM h)"
+
+
+def _slots(spark, d) -> DataFrame:
+    counts = table(spark, d, "events").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("slot"), "event_type").agg(F.count("*").alias("n"))
+    return counts.withColumn("post", F.col("n") / F.sum("n").over(Window.partitionBy("user_id", "slot")))
+
+
+@query(f"WITH {SLOTS} SELECT user_id, slot::TIMESTAMP AS slot, event_type, round(-ln(post), 6) + 0.0::DOUBLE AS cost FROM p QUALIFY coalesce(sum(post) OVER (PARTITION BY user_id, slot ORDER BY post DESC, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.9 - 1e-9")
+def sausage_truncate(spark, d):
+    w = Window.partitionBy("user_id", "slot").orderBy(F.desc("post"), "event_type").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _slots(spark, d).withColumn("b", F.coalesce(F.sum("post").over(w), F.lit(0.0))).where("b < 0.9 - 1e-9")
+    return rows.select("user_id", "slot", "event_type", r6(-F.ln("post")).alias("cost"))
+
+
+@query(f"WITH {SLOTS} SELECT user_id, slot::TIMESTAMP AS slot, event_type, round(-ln(post), 6) + 0.0::DOUBLE AS cost FROM p QUALIFY -ln(post) <= min(-ln(post)) OVER (PARTITION BY user_id, slot) + 1")
+def lattice_prune_beam(spark, d):
+    rows = _slots(spark, d).withColumn("c", -F.ln("post"))
+    return rows.withColumn("best", F.min("c").over(Window.partitionBy("user_id", "slot"))).where("c <= best + 1").select("user_id", "slot", "event_type", r6("c").alias("cost"))
+
+
+@query(f"WITH {SLOTS}, t AS (SELECT event_type, -ln(count(*) / (SELECT count(*) FROM events)) AS lm FROM events GROUP BY event_type) SELECT user_id, slot::TIMESTAMP AS slot, event_type, round(-ln(post) - lm + ln(5), 6) AS cost FROM p JOIN t USING (event_type) QUALIFY row_number() OVER (PARTITION BY user_id, slot ORDER BY round(-ln(post) - lm + ln(5), 6), event_type) = 1")
+def rescore_swap_lm(spark, d):
+    """Old model (unigram) out, new one (uniform) in, the cheapest hypothesis of each slot."""
+    events = table(spark, d, "events")
+    lm = events.groupBy("event_type").agg(F.count("*").alias("k")).crossJoin(F.broadcast(events.agg(F.count("*").alias("all")))).select("event_type", (-F.ln(F.col("k") / F.col("all"))).alias("lm"))
+    rows = _slots(spark, d).join(F.broadcast(lm), "event_type").withColumn("cost", r6(-F.ln("post") - F.col("lm") + math.log(5)))
+    w = Window.partitionBy("user_id", "slot").orderBy("cost", "event_type")
+    return rows.withColumn("k", F.row_number().over(w)).where("k = 1").select("user_id", "slot", "event_type", "cost")
+
+
+@query(f"WITH {NORM} SELECT doc_id, line_no, round(levenshtein(line, replace(replace(line, 'e', 'a'), 'th', 't')) / length(line), 6) AS ler FROM c WHERE length(line) <= 200")
+def letter_error_rate(spark, d):
+    other = F.replace(F.replace("line", F.lit("e"), F.lit("a")), F.lit("th"), F.lit("t"))
+    return corpus(spark, d).where(F.length("line") <= 200).select("doc_id", "line_no", r6(F.levenshtein("line", other) / F.length("line")).alias("ler"))
+
+
+@query("SELECT vec_id, k::INTEGER AS chunk, round(list_sum(list_transform(embedding[k * 16 + 1 : k * 16 + 16], lambda x: x::DOUBLE)), 4) AS total FROM (SELECT vec_id, embedding, unnest(range(0, (len(embedding) + 15) // 16)) AS k FROM embeddings)")
+def segment_chunks(spark, d):
+    e = table(spark, d, "embeddings")
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 16).cast("int") - 1), lambda k: F.slice("embedding", k * 16 + 1, F.lit(16)))
+    return e.select("vec_id", F.posexplode(chunks).alias("chunk", "part")).select("vec_id", "chunk", F.round(F.aggregate("part", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(DISTINCT doc_id) FROM labels) AS n_labelled, (SELECT count(DISTINCT doc_id) FROM labels) >= (SELECT count(*) - count(*) // 20 FROM documents) AS ok")
+def success_ratio_check(spark, d):
+    a, b = table(spark, d, "documents").agg(F.count("*").alias("n_docs")), table(spark, d, "labels").agg(F.countDistinct("doc_id").alias("n_labelled"))
+    return a.crossJoin(b).withColumn("ok", F.col("n_labelled") >= F.col("n_docs") - F.floor(F.col("n_docs") / 20))
+
+
+@query("SELECT c_nationkey, count(*)::BIGINT AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_shipdate < DATE '1996-01-01' GROUP BY c_nationkey")
+def star_join(spark, d):
+    li = table(spark, d, "lineitem").where("l_shipdate < timestamp_ntz '1996-01-01'").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    return li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("revenue"))
+
+
+def _cipher(spark, d, utterances: int = 60, longest: int = 40):
+    """Known-key observations: the first letters of normalised lines under a shifted alphabet; a feature-sized training budget."""
+    rows = corpus(spark, d).join(table(spark, d, "documents").where("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
+    plain = F.regexp_replace(F.regexp_replace(F.replace("line", F.lit(T.UNK), F.lit("")), "[^a-z ]", ""), " +", " ")
+    rows = rows.select("doc_id", "line_no", F.trim(plain).alias("plain")).where(F.length("plain") >= 20)
+    some = rows.orderBy("doc_id", "line_no").limit(utterances)
+    seq = F.concat(F.lit(" "), F.substring("plain", 1, longest))
+    codes = F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), lambda c: F.when(c == " ", 1).otherwise(2 + (F.ascii(c) - 97 + 7) % 26))
+    return rows, some.select(F.concat_ws("-", "doc_id", "line_no").alias("utt_id"), "plain", codes.cast("array<int>").alias("syms"))
+
+
+def _letter_lm(rows: DataFrame, order: int = 2) -> cipher.LetterModel:
+    seq = rows.select(F.filter(F.split(F.concat(F.lit(" "), "plain", F.lit(" ")), ""), lambda c: c != "").alias("seq"))
+    num = lambda c: 1 if c == " " else ord(c) - 95
+    got = ngrams.mle(ngrams.ngrams(seq, order)).collect()  # at most alphabet ** order rows
+    probs = {(tuple(map(num, r["ctx"])), num(r["sym"])): r["p"] for r in got}
+    if order > 1:
+        for r in ngrams.mle(ngrams.ngrams(seq, 1)).collect():
+            probs.setdefault(((), num(r["sym"])), r["p"])
+    return cipher.LetterModel.from_probs(probs, order)
+
+
+def _starts(spark, restarts: int) -> list[cipher.Parameters]:
+    import numpy as np
+
+    out = [np.zeros((28, 29)) for _ in range(restarts)]
+    for r in models.lexical(spark, 28, 28, restarts).collect():
+        out[r["restart"] - 1][r["src"], r["tgt"]] = r["p"]
+    return [cipher.Parameters(x) for x in out]
+
+
+@query()
+def em_training_log(spark, d):
+    rows, obs = _cipher(spark, d, 40)
+    _, log = cipher.train(obs, _starts(spark, 3), _letter_lm(rows), 5)
+    return spark.createDataFrame([(int(a), int(b), float(c), int(e)) for a, b, c, e in log.itertuples(index=False)], "restart int, iter int, cost double, n_failed int")
+
+
+@query()
+def decode_cipher(spark, d):
+    rows, obs = _cipher(spark, d)
+    lm = _letter_lm(rows)
+    best, _ = cipher.curriculum(obs, _starts(spark, 2), [lm, lm], 8)
+    found = cipher.decode(obs, cipher.Parameters(cipher.smooth_matrix(best.lex), best.arcs), lm)
+    letters = F.trim(F.array_join(F.transform("tokens", lambda t: F.when(t == 1, F.lit(" ")).otherwise(F.char(t + 95))), ""))
+    return found.join(obs.select("utt_id", F.substring("plain", 1, 40).alias("plain")), "utt_id").select("utt_id", letters.alias("decoded"), F.round(F.levenshtein(letters, F.col("plain")) / F.length("plain"), 4).alias("error_rate"))
