@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from glyphlake.llm.common import SpanHash, documents
 
 DEPTH, GRAM = 50, 16
 #: Bytes of text that a worker looks at together.
-BLOCK = 4_000_000
+BLOCK = 8_000_000
 #: Picks whose windows are sorted together.
 SORT_BLOCK = 200_000
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -105,12 +106,47 @@ def _batch(names: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Record
 
 
 _MARKS = [("part", pa.int32()), ("docs", pa.binary()), ("marks", pa.binary()), ("known", pa.bool_())]
+#: gram, key, doc, start, rel and signed size of each run (see _pack_runs), and the text.
 _TELL = [("doc_id", pa.int64()), ("shared", pa.binary())]
-_RUNS = [("part", pa.int32()), ("gram", pa.binary()), ("run", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("rel", pa.binary()), ("size", pa.binary()), ("text", pa.binary())]
+_RUNS = [("part", pa.int32()), ("settled", pa.bool_()), ("runs", pa.binary()), ("text", pa.binary())]
 _SPANS = [("doc_id", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())]
 _ddl = lambda names: ", ".join(f"{n} {({'int32': 'int', 'int64': 'long', 'binary': 'binary', 'bool': 'boolean'})[str(t)]}" for n, t in names)
 
 
+def _runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    head = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[head], np.diff(np.append(head, len(values)))
+
+
+def _pack_docs(d: np.ndarray) -> bytes:
+    """Document ids that come in runs."""
+    ids, n = _runs_of(d)
+    return np.concatenate([ids.astype(np.int64), n.astype(np.int64)]).tobytes()
+
+
+def _unpack_docs(b: bytes) -> np.ndarray:
+    ids, n = np.frombuffer(b, np.int64).reshape(2, -1)
+    return np.repeat(ids, n)
+
+
+#: Planes of a packed run.
+_PLANES = [np.dtype(t) for t in ("<u8", "<u8", "<i8", "<i4", "<u1", "<i4")]
+
+
+def _pack_runs(*planes: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(p.astype(t).tobytes() for p, t in zip(planes, _PLANES)), 1)
+
+
+def _unpack_runs(b: bytes) -> list[np.ndarray]:
+    b = zstandard.decompress(b)
+    n, at, out = len(b) // sum(t.itemsize for t in _PLANES), 0, []
+    for t in _PLANES:
+        x = np.frombuffer(b, t, n, at)
+        out.append(x if t.kind == "u" and t.itemsize == 8 else x.astype(np.int64))
+        at += n * t.itemsize
+    return out
+
+
 def _sorted_marks(full: np.ndarray) -> np.ndarray:
     """40 bits of the picks' hashes, once each."""
     return np.unique(full >> np.uint64(24))
@@ -156,11 +192,12 @@ def _send_marks(parts: int, depth: int):
                 for p, a, b in _cuts(dest):
                     x = np.sort(hits[a:b])
                     x = x[np.argsort(d[x], kind="stable")]
-                    rows.append((p, d[x].tobytes(), _pack40(m[x]), flag))
+                    rows.append((p, _pack_docs(d[x]), _pack40(m[x]), flag))
             # Known marks ride along, to be told to their documents.
             x = np.flatnonzero(k)
             if len(x):
-                rows.append((int(d[x[0]] % parts), d[x].tobytes(), _pack40(m[x]), None))
+                x = x[np.argsort(d[x], kind="stable")]
+                rows.append((int(d[x[0]] % parts), _pack_docs(d[x]), _pack40(m[x]), None))
             yield _batch(_MARKS, rows)
 
     return run
@@ -183,7 +220,7 @@ def _share_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs, marks, flags = [], [], []
     for batch in batches:
         for d, m, flag in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            d, m = np.frombuffer(d, np.int64), _unpack40(m)
+            d, m = _unpack_docs(d), _unpack40(m)
             if flag is None:
                 yield _batch(_TELL, _tell(d, m))
             else:
@@ -234,15 +271,18 @@ def _send_runs(parts: int, depth: int):
             x = np.flatnonzero(settled)
             if len(x):
                 # Settled runs ride along as plain spans.
-                rows.append((int(doc[x[0]] % parts), None, None, doc[x].tobytes(), first[x].tobytes(), None, size[x].tobytes(), None))
+                x = x[np.lexsort((first[x], doc[x]))]
+                none = np.zeros(len(x))
+                rows.append((int(doc[x[0]] % parts), True, _pack_runs(none, none, doc[x], first[x], none, size[x]), b""))
             x = np.flatnonzero(~settled)
             dest = (gram[x] % np.uint64(parts)).astype(np.int64)
             o = np.argsort(dest, kind="stable")
             x, dest = x[o], dest[o]
             for p, a, b in _cuts(dest):
                 y = x[a:b]
+                y = y[np.lexsort((first[y], doc[y], ~new[y]))]
                 text = b"".join(block[s][1][f : f + z] if n else b"" for s, f, z, n in zip(src[y].tolist(), first[y].tolist(), size[y].tolist(), new[y].tolist()))
-                rows.append((p, gram[y].tobytes(), key[y].tobytes(), doc[y].tobytes(), first[y].tobytes(), rel[y].astype(np.uint8).tobytes(), (size[y] * np.where(new[y], 1, -1)).tobytes(), text))
+                rows.append((p, False, _pack_runs(gram[y], key[y], doc[y], first[y], rel[y], size[y] * np.where(new[y], 1, -1)), zstandard.compress(text, 3)))
             yield _batch(_RUNS, rows)
 
     return run
@@ -259,16 +299,16 @@ def _sort_runs(depth: int):
         cols: list[list] = [[] for _ in range(7)]
         texts, base = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(1, 8))):
-                gram, key, doc, start, rel, size, text = row
-                doc, start, size = (np.frombuffer(v, np.int64) for v in (doc, start, size))
-                if gram is None:
+            for settled, packed, text in zip(*(batch.column(k).to_pylist() for k in range(1, 4))):
+                gram, key, doc, start, rel, size = _unpack_runs(packed)
+                if settled:
                     yield _batch(_SPANS, _spans(doc, start, start + size))
                     continue
+                text = zstandard.decompress(text) if text else b""
                 has = size > 0
                 size = np.abs(size)
                 off = np.where(has, base + np.cumsum(size * has) - size * has, -1)
-                for c, v in zip(cols, (np.frombuffer(gram, np.uint64), np.frombuffer(key, np.uint64), doc, start, np.frombuffer(rel, np.uint8).astype(np.int64), size, off)):
+                for c, v in zip(cols, (gram, key, doc, start, rel, size, off)):
                     c.append(v)
                 texts.append(text)
                 base += len(text)
@@ -341,11 +381,12 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
     """(doc_id, spans): spans of bytes to remove, in pieces that may overlap; only documents that have some."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Several numbers for each partition, so that hashing them again deals them evenly.
-    parts *= 8
+    parts *= 4
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     marks = texts.mapInArrow(_send_marks(parts, depth), _ddl(_MARKS))
     told = marks.repartition("part").mapInArrow(_share_marks, _ddl(_TELL)).groupBy("doc_id").agg(F.collect_list("shared").alias("shared"))
-    runs = texts.join(told, "doc_id").select("doc_id", "text", "shared").mapInArrow(_send_runs(parts, depth), _ddl(_RUNS))
+    # A left join, like the last one, so that both can read one exchange of the texts.
+    runs = texts.join(told, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_send_runs(parts, depth), _ddl(_RUNS))
     spans = runs.repartition("part").mapInArrow(_sort_runs(depth), _ddl(_SPANS))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("spans"))
 
