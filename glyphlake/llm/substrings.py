@@ -288,21 +288,31 @@ def _send_runs(parts: int, depth: int):
     return run
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple]:
-    order = np.argsort(doc, kind="stable")
-    doc, start, end = doc[order], start[order], end[order]
-    return [(d, start[a:b].astype(np.int64).tobytes(), end[a:b].astype(np.int64).tobytes()) for d, a, b in _cuts(doc)]
+def _told_spans(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, with the union of what was found of it here."""
+    if found:
+        doc, start, end = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+        order = np.lexsort((start, doc))
+        doc, start, end = doc[order], start[order], end[order]
+        rows = []
+        for d, a, b in _cuts(doc):
+            s, e = merged(start[a:b], end[a:b])
+            rows.append((d, s.tobytes(), e.tobytes()))
+        for at in range(0, len(rows), 20_000):
+            yield _batch(_SPANS, rows[at : at + 20_000])
 
 
 def _sort_runs(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in range(7)]
         texts, base = [], 0
+        # A document's spans of this partition are told in one row.
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for settled, packed, text in zip(*(batch.column(k).to_pylist() for k in range(1, 4))):
                 gram, key, doc, start, rel, size = _unpack_runs(packed)
                 if settled:
-                    yield _batch(_SPANS, _spans(doc, start, start + size))
+                    found.append((doc, start.astype(np.int32), (start + size).astype(np.int32)))
                     continue
                 text = zstandard.decompress(text) if text else b""
                 has = size > 0
@@ -313,6 +323,7 @@ def _sort_runs(depth: int):
                 texts.append(text)
                 base += len(text)
         if not texts:
+            yield from _told_spans(found)
             return
         gram, key, doc, start, rel, size, off = map(np.concatenate, cols)
         del cols
@@ -327,7 +338,7 @@ def _sort_runs(depth: int):
         place = np.maximum.reduceat(off, head)
         x = np.flatnonzero(doc > least[number])
         if len(x):
-            yield _batch(_SPANS, _spans(doc[x], start[x], start[x] + size[x]))
+            found.append((doc[x], start[x], start[x] + size[x]))
         # Distinct runs of a pick, where there are several, are compared window by window.
         g = gram[head]
         pick = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1
@@ -361,7 +372,8 @@ def _sort_runs(depth: int):
             times = hi - lo
             rows = owners[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
             s = start[rows] + np.repeat(inside[hit], times)
-            yield _batch(_SPANS, _spans(doc[rows], s, s + depth))
+            found.append((doc[rows], s, s + depth))
+        yield from _told_spans(found)
 
     return run
 
