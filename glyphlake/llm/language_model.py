@@ -180,6 +180,36 @@ def _sparse(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     return k[first], np.diff(np.append(first, len(k))), d, count
 
 
+def _homeward(ids: list[np.ndarray], sums: list[list[np.ndarray]], kinds: list[str], parts: int) -> list[list]:
+    """Columns (part, ids, sums...) that bring sums back to their documents' partitions, in blocks."""
+    if not ids:
+        return [[] for _ in range(2 + len(kinds))]
+    own, back = np.unique(np.concatenate(ids), return_inverse=True)
+    total = [np.bincount(back, np.concatenate(x), len(own)) for x in zip(*sums)]
+    dest = (mix64(own.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(dest, kind="stable")
+    own, dest, total = own[order], dest[order], [x[order] for x in total]
+    cuts = np.append(np.flatnonzero(np.append(True, dest[1:] != dest[:-1])), len(dest))
+    pieces = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+    return [[int(dest[p.start]) for p in pieces], [own[p].tobytes() for p in pieces], *[[x[p].astype(k).tobytes() for p in pieces] for x, k in zip(total, kinds)]]
+
+
+def _summed(blocks: DataFrame, names: list[str], kinds: list[str]) -> DataFrame:
+    """doc_id and its sums, from the rows of ``_homeward``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sums = [], []
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(1, 2 + len(names)))):
+                ids.append(np.frombuffer(row[0], np.int64))
+                sums.append([np.frombuffer(x, k) for x, k in zip(row[1:], kinds)])
+        if ids:
+            own, back = np.unique(np.concatenate(ids), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *[pa.array(np.bincount(back, np.concatenate(x), len(own))) for x in zip(*sums)]], ["doc_id", *names])
+
+    return blocks.select("part", "ids", *names).repartition("part").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+
+
 _WIRE = "part int, docs binary, keys binary, rows binary, doc binary, count binary, kinds string"
 
 
@@ -246,7 +276,7 @@ def _pairs(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def word_round(texts: DataFrame, parts: int) -> DataFrame:
-    """Rows of kind 'doc' (doc_id, log10 sum, known tokens) and 'table' (class, tokens and distinct words, packed)."""
+    """Blocks of documents' sums (of log10(c + 1), of known tokens) and of the table (class, tokens and distinct words)."""
     wire = _wire(parts, lambda k, p: (_klass(_word32(k)) * p // CLASSES).astype(np.int64), lambda k: k.tobytes())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +284,7 @@ def word_round(texts: DataFrame, parts: int) -> DataFrame:
             yield _batch(list(wire(docs, tokens, doc)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sums, tables = [], [], []
         for _, docs, keys, doc, count in _by_part(batches, "u8"):
             held = _is_held(docs)
             order = np.argsort(keys, kind="stable")
@@ -261,18 +292,19 @@ def word_round(texts: DataFrame, parts: int) -> DataFrame:
             head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             c = np.add.reduceat(np.where(held[d], 0, n), head)
             of_row = np.repeat(c, np.diff(np.append(head, len(k))))
-            logs = np.bincount(d, n * np.log10(of_row + 1), len(docs))
-            known = np.bincount(d, n * (of_row > 0), len(docs))
-            ids, back = np.unique(docs, return_inverse=True)
-            logs, known = np.bincount(back, logs, len(ids)), np.bincount(back, known, len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(logs), pa.array(known.astype(np.int64)), pa.nulls(len(ids), pa.binary())], ["doc_id", "logs", "known", "table"])
+            own, back = np.unique(docs, return_inverse=True)
+            ids.append(own)
+            sums.append([np.bincount(back[d], n * np.log10(of_row + 1), len(own)), np.bincount(back[d], n * (of_row > 0), len(own))])
             on = c > 0
             cls, back = np.unique(_klass(_word32(k[head[on]])), return_inverse=True)
-            packed = cls.astype("<i4").tobytes() + np.bincount(back, c[on], len(cls)).astype("<i8").tobytes() + np.bincount(back, minlength=len(cls)).astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.int64()), pa.array([packed], pa.binary())], ["doc_id", "logs", "known", "table"])
+            tables.append(cls.astype("<i4").tobytes() + np.bincount(back, c[on], len(cls)).astype("<i8").tobytes() + np.bincount(back, minlength=len(cls)).astype("<i4").tobytes())
+        part, own, logs, known = _homeward(ids, sums, ["<f8", "<u4"], parts)
+        n, t = len(part), len(tables)
+        blobs = [pa.array(x + [None] * t, pa.binary()) for x in (own, logs, known)]
+        yield pa.RecordBatch.from_arrays([pa.array(part + [None] * t, pa.int32()), *blobs, pa.array([None] * n + tables, pa.binary())], ["part", "ids", "logs", "known", "table"])
 
     sent = texts.mapInArrow(send, _WIRE)
-    return sent.repartition("part").mapInArrow(meet, "doc_id long, logs double, known long, table binary")
+    return sent.repartition("part").mapInArrow(meet, "part int, ids binary, logs binary, known binary, table binary")
 
 
 class Parent:
@@ -294,7 +326,7 @@ class Parent:
 
 
 def context_round(texts: DataFrame, parts: int, p: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> DataFrame:
-    """doc_id and partial sums of log10 probabilities."""
+    """doc_id and its sum of log10 probabilities."""
     shared = texts.sparkSession.sparkContext.broadcast((p, np.minimum(tokens, (1 << 31) - 1).astype(np.int32)))
     # A context class with more than its share of all tokens is dealt by its words too.
     heavy = max(1.0, float(tokens.sum()) / parts / 8)
@@ -316,6 +348,7 @@ def context_round(texts: DataFrame, parts: int, p: np.ndarray, tokens: np.ndarra
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sizes = shared.value
+        all_ids, all_sums = [], []
         got: dict[int, list] = {}
         for b in batches:
             for part, docs, keys, rows, doc, count, kinds in zip(*(b.column(k).to_pylist() for k in range(7))):
@@ -340,10 +373,13 @@ def context_round(texts: DataFrame, parts: int, p: np.ndarray, tokens: np.ndarra
 
             logs = seat_and_score(ctx, word, count, train, table[_klass(word)].astype(np.float64), totals, part)
             ids, back = np.unique(docs, return_inverse=True)
-            sums = np.bincount(back[doc], count * logs, len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums)], ["doc_id", "logs"])
+            all_ids.append(ids)
+            all_sums.append([np.bincount(back[doc], count * logs, len(ids))])
+        part, own, logs = _homeward(all_ids, all_sums, ["<f4"], parts)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own, pa.binary()), pa.array(logs, pa.binary())], ["part", "ids", "logs"])
 
-    return texts.mapInArrow(send, _WIRE).repartition("part").mapInArrow(meet, "doc_id long, logs double")
+    home = texts.mapInArrow(send, _WIRE).repartition("part").mapInArrow(meet, "part int, ids binary, logs binary")
+    return _summed(home, ["logs"], ["<f4"])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,8 +394,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         tokens[at] += np.frombuffer(r["table"], "<i8", n, 4 * n)
         words[at] += np.frombuffer(r["table"], "<i4", n, 12 * n)
     n_all, v_all = int(tokens.sum()), int(words.sum())
-    sums = first.where("table is null").groupBy("doc_id").agg(F.sum("logs").alias("logs"), F.sum("known").alias("n_known"))
-    model = context_round(texts, parts, Parent(tokens, words).p, tokens, words).groupBy("doc_id").agg(F.sum("logs").alias("score"))
+    sums = _summed(first.where("table is null"), ["logs", "known"], ["<f8", "<u4"]).withColumnRenamed("known", "n_known")
+    model = context_round(texts, parts, Parent(tokens, words).p, tokens, words).withColumnRenamed("logs", "score")
     null = F.lit(_NULL)
     # A regular expression counts the words without moving the texts.
     rows = texts.select("doc_id", F.coalesce("doc_id", null).alias("k"), (F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long").alias("n_tokens"))
