@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UNK = "<unk>"
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -14,7 +15,7 @@ _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 SCRIPTS = {"latin": "IsLatin", "cyrillic": "IsCyrillic", "greek": "IsGreek", "arabic": "IsArabic", "hebrew": "IsHebrew", "devanagari": "IsDevanagari", "georgian": "IsGeorgian", "armenian": "IsArmenian", "thai": "IsThai", "hangul": "IsHangul"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """NFC, for which Spark has no function. Null stays null."""
     return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
@@ -87,7 +88,7 @@ def alphabet(norm: DataFrame, least: float = 1e-4) -> DataFrame:
     return shares.where((F.col("share") >= least) & ~F.col("ch").rlike("[,;.!?]"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def grapheme_names(s: pd.Series) -> pd.Series:
     """Unicode names with dashes, joined by spaces; characters without a name are U+XXXX."""
     return s.map(lambda t: t if t is None else " ".join(unicodedata.name(c, f"U+{ord(c):04X}").replace(" ", "-") for c in t.strip("@")))
