@@ -26,7 +26,7 @@ def int_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def merges(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(rank, lft, rgt) of a merge file; a version header is skipped, the first of equal pairs counts, other lines must have two fields."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     parts = F.split("line", " ")
     rows = raw.where("line <> '' and not (at = 0 and startswith(line, '#version'))").select("at", F.when(F.size(parts) == 2, parts).otherwise(F.raise_error(F.concat(F.lit("not a pair: "), "line"))).alias("p"))
     ranked = rows.groupBy(F.col("p")[0].alias("lft"), F.col("p")[1].alias("rgt")).agg(F.min("at").alias("at")).select((F.row_number().over(Window.orderBy("at")) - 1).alias("rank"), "lft", "rgt")
