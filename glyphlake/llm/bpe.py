@@ -28,7 +28,7 @@ _ODD = re.compile("[^\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-ɏ]")
 _PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: How far past its end a match of the splitting pattern can look.
 LOOK_AHEAD = 3
-#: Pieces that a worker remembers before it starts afresh.
+#: Pieces in each of the two generations that a worker remembers; what the old one has and is met again moves to the new one.
 MEMORY = 300_000
 
 
@@ -152,6 +152,7 @@ class Encoder:
         self.full = regex.compile(pattern)
         self.plain = plain
         self.memory: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.plain and not _ODD.search(text):
@@ -159,20 +160,26 @@ class Encoder:
         return self.full.findall(text)
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8", "surrogatepass")
-        whole = self.v.ranks.get(data)
-        got = (whole,) if whole is not None else tuple(PrefixTable(self.v, data).tokens())
+        got = self.memory.get(piece) or self.old.get(piece)
+        if got is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            whole = self.v.ranks.get(data)
+            got = (whole,) if whole is not None else tuple(PrefixTable(self.v, data).tokens())
         if len(piece) < 200:
             if len(self.memory) >= MEMORY:
-                self.memory.clear()
+                self.old, self.memory = self.memory, {}
             self.memory[piece] = got
         return got
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        known, new = self.memory.get, self.piece
-        return list(chain.from_iterable(known(p) or new(p) for p in self.pieces(text)))
+        pieces = self.pieces(text)
+        got = list(map(self.memory.get, pieces))
+        for k, ids in enumerate(got):
+            if ids is None:
+                got[k] = self.piece(pieces[k])
+        return list(chain.from_iterable(got))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, ids))
@@ -224,19 +231,19 @@ def production(path: str | None = None) -> tuple[dict[bytes, int], str]:
     return read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
-_made: dict[int, Encoder] = {}
+_made: dict[int, tuple[object, Encoder]] = {}
 
 
 def worker_encoder(shared) -> Encoder:
-    """One encoder per Python worker for a broadcast (ranks, pattern)."""
+    """One encoder per Python worker for a broadcast (ranks, pattern), which is kept so that its id stays its own."""
     key = id(shared)
     if key not in _made:
         _made.clear()
         ranks, pattern = shared.value
         import public_tokenizers
 
-        _made[key] = Encoder(Vocabulary(ranks), pattern, plain=pattern == public_tokenizers.PATTERN)
-    return _made[key]
+        _made[key] = shared, Encoder(Vocabulary(ranks), pattern, plain=pattern == public_tokenizers.PATTERN)
+    return _made[key][1]
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
 
 
-_coders: dict[int, object] = {}
+_coders: dict[int, tuple] = {}
 
 
 def worker_coder(shared):
@@ -66,8 +66,8 @@ def worker_coder(shared):
 
         ranks, pattern = shared.value
         _coders.clear()
-        _coders[id(shared)] = tiktoken.Encoding("shared", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _coders[id(shared)]
+        _coders[id(shared)] = shared, tiktoken.Encoding("shared", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _coders[id(shared)][1]
 
 
 class HarmonicPacker:

@@ -177,7 +177,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return [(r["text"], r["toxic"]) for r in sorted(joined.collect(), key=lambda r: r["doc_id"])]
 
 
-_models: dict[int, Model] = {}
+_models: dict[int, tuple] = {}
 
 
 def _worker_model(shared) -> Model:
@@ -185,8 +185,8 @@ def _worker_model(shared) -> Model:
         _models.clear()
         m = Model()
         m.vectors, m.softmax, m.bias, m.threshold, m.width = shared.value
-        _models[id(shared)] = m
-    return _models[id(shared)]
+        _models[id(shared)] = shared, m
+    return _models[id(shared)][1]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
