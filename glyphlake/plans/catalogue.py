@@ -421,16 +421,16 @@ def _starts(spark, restarts: int) -> list[cipher.Parameters]:
 
 @query()
 def em_training_log(spark, d):
-    rows, obs = _cipher(spark, d, 40)
+    rows, obs = _cipher(spark, d, 16)
     _, log = cipher.train(obs, _starts(spark, 3), _letter_lm(rows), 5)
     return spark.createDataFrame([(int(a), int(b), float(c), int(e)) for a, b, c, e in log.itertuples(index=False)], "restart int, iter int, cost double, n_failed int")
 
 
 @query()
 def decode_cipher(spark, d):
-    rows, obs = _cipher(spark, d)
+    rows, obs = _cipher(spark, d, 16)
     lm = _letter_lm(rows)
-    best, _ = cipher.curriculum(obs, _starts(spark, 2), [lm, lm], 8)
+    best, _ = cipher.curriculum(obs, _starts(spark, 2), [lm, lm], 3)
     found = cipher.decode(obs, cipher.Parameters(cipher.smooth_matrix(best.lex), best.arcs), lm)
     letters = F.trim(F.array_join(F.transform("tokens", lambda t: F.when(t == 1, F.lit(" ")).otherwise(F.char(t + 95))), ""))
     return found.join(obs.select("utt_id", F.substring("plain", 1, 40).alias("plain")), "utt_id").select("utt_id", letters.alias("decoded"), F.round(F.levenshtein(letters, F.col("plain")) / F.length("plain"), 4).alias("error_rate"))
