@@ -122,7 +122,8 @@ class Model:
                 if bags[k] is None:
                     continue
                 g, w = bags[k]
-                h = w @ self.vectors[g]
+                rows, squares = self.vectors.take(g, axis=0), seen_v.take(g, axis=0)
+                h = w @ rows
                 z = h @ self.softmax + self.bias
                 q = np.exp(z - z.max())
                 q /= q.sum()
@@ -134,8 +135,9 @@ class Model:
                 self.softmax -= rate * grad_s / np.sqrt(seen_s)
                 self.bias -= rate * q / np.sqrt(seen_b)
                 grad_v = w[:, None] * grad_h
-                seen_v[g] += grad_v**2
-                self.vectors[g] -= rate * grad_v / np.sqrt(seen_v[g])
+                squares += grad_v * grad_v
+                seen_v[g] = squares
+                self.vectors[g] = rows - rate * grad_v / np.sqrt(squares)
         self.memory.clear()
         return self
 
