@@ -78,13 +78,18 @@ class Lattice:
     def _back(self, v: np.ndarray, arcs: np.ndarray, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.lm.src[arcs], v[self.lm.dst[arcs]] * w, self.lm.n)
 
+    def _mixed(self, a: np.ndarray, moves: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+        """Moves into one state share a pass over the arcs: (state, weighted sum of where they come from)."""
+        for t in dict.fromkeys(t for _, t, _ in moves):
+            yield t, sum(w * a[x] for x, y, w in moves if y == t)
+
     def _close(self, a: np.ndarray) -> np.ndarray:
         """Moves that read nothing, in the order in which they can follow each other."""
         a, lm = a.copy(), self.lm
         for s, t, w in self.insert:
             a[t] += w * self._go(a[s], self.let, lm.p[self.let])
-        for s, t, w in self.put_sil:
-            a[t] += w * self._go(a[s], self.sil, lm.p[self.sil])
+        for t, mix in self._mixed(a, self.put_sil):
+            a[t] += self._go(mix, self.sil, lm.p[self.sil])
         for s, t, w in self.start:
             a[t] += w * a[s]
         return a
@@ -93,8 +98,9 @@ class Lattice:
         b, lm = b.copy(), self.lm
         for s, t, w in self.start:
             b[s] += w * b[t]
+        back = {t: self._back(b[t], self.sil, lm.p[self.sil]) for t in dict.fromkeys(t for _, t, _ in self.put_sil)}
         for s, t, w in self.put_sil:
-            b[s] += w * self._back(b[t], self.sil, lm.p[self.sil])
+            b[s] += w * back[t]
         for s, t, w in reversed(self.insert):
             b[s] += w * self._back(b[t], self.let, lm.p[self.let])
         return b
@@ -102,12 +108,12 @@ class Lattice:
     def _read(self, a: np.ndarray, s: int) -> np.ndarray:
         out, lm, lex = np.zeros_like(a), self.lm, self.p.lex
         if s == SIL:
-            for x, t, w in self.read_sil:
-                out[t] += w * self._go(a[x], self.sil, lm.p[self.sil])
+            for t, mix in self._mixed(a, self.read_sil):
+                out[t] += self._go(mix, self.sil, lm.p[self.sil])
             return out
         e = lm.p[self.let] * lex[s, lm.sym[self.let]]
-        for x, t, w in self.match:
-            out[t] += w * self._go(a[x], self.let, e)
+        for t, mix in self._mixed(a, self.match):
+            out[t] += self._go(mix, self.let, e)
         for x, t, w in self.delete:
             out[t] += w * lex[s, -1] * a[x]
         return out
@@ -119,8 +125,9 @@ class Lattice:
                 out[x] += w * self._back(b[t], self.sil, lm.p[self.sil])
             return out
         e = lm.p[self.let] * lex[s, lm.sym[self.let]]
+        back = {t: self._back(b[t], self.let, e) for t in dict.fromkeys(t for _, t, _ in self.match)}
         for x, t, w in self.match:
-            out[x] += w * self._back(b[t], self.let, e)
+            out[x] += w * back[t]
         for x, t, w in self.delete:
             out[x] += w * lex[s, -1] * b[t]
         return out
@@ -158,8 +165,11 @@ class Lattice:
             scale = 1.0 / float((a * after).sum())
             for s, d, w in self.insert:
                 ops[(s, d, "insert")] = ops.get((s, d, "insert"), 0.0) + scale * float(arcs_count(a[s], beta[d], self.let, w * e0).sum())
-            for s, d, w in self.put_sil:
-                ops[(s, d, "insert_silence")] = ops.get((s, d, "insert_silence"), 0.0) + scale * float(arcs_count(a[s], beta[d], self.sil, w * lm.p[self.sil]).sum())
+            for d in dict.fromkeys(d for _, d, _ in self.put_sil):
+                back = self._back(beta[d], self.sil, lm.p[self.sil])
+                for s, y, w in self.put_sil:
+                    if y == d:
+                        ops[(s, d, "insert_silence")] = ops.get((s, d, "insert_silence"), 0.0) + scale * w * float(a[s] @ back)
             if t == 0:
                 break
             s = seq[t - 1]
@@ -171,10 +181,12 @@ class Lattice:
                     ops[(x, d, "read_silence")] = ops.get((x, d, "read_silence"), 0.0) + scale * float(arcs_count(a[x], beta[d], self.sil, w * lm.p[self.sil]).sum())
             else:
                 e = e0 * self.p.lex[s, lm.sym[self.let]]
-                for x, d, w in self.match:
-                    c = scale * arcs_count(a[x], beta[d], self.let, w * e)
-                    np.add.at(lex[s], lm.sym[self.let], c)
-                    ops[(x, d, "match")] = ops.get((x, d, "match"), 0.0) + float(c.sum())
+                for d, mix in self._mixed(a, self.match):
+                    lex[s] += np.bincount(lm.sym[self.let], scale * arcs_count(mix, beta[d], self.let, e), lex.shape[1])
+                    back = self._back(beta[d], self.let, e)
+                    for x, y, w in self.match:
+                        if y == d:
+                            ops[(x, d, "match")] = ops.get((x, d, "match"), 0.0) + scale * w * float(a[x] @ back)
                 for x, d, w in self.delete:
                     c = scale * float((a[x] * w * self.p.lex[s, -1] * beta[d]).sum())
                     lex[s, -1] += c
@@ -240,6 +252,118 @@ class Lattice:
         return out[::-1], float(cost[at])
 
 
+class BatchDecoder:
+    """The paths of ``Lattice.best`` for many whole sequences at once; all positions' links are kept, bounded by ``ROOM`` bytes or one sequence."""
+
+    ROOM, MOST = 1 << 26, 128
+
+    def __init__(self, p: Parameters, lm: LetterModel, beam: float = np.inf):
+        own = Lattice(p, lm)
+        self.own, self.lm, self.beam, self.S, self.A = own, lm, beam, p.states, len(lm.src)
+        self.kind = np.int16 if 2 * self.S * (self.A + 1) < 1 << 15 else np.int32
+        with np.errstate(divide="ignore"):
+            self.lex, cost = -np.log(p.lex), -np.log(lm.p)
+        self.let, self.sil = self._table(own.let), self._table(own.sil)
+        self.put = {id(t): np.where(t < self.A, np.append(cost, np.inf)[t], np.inf) for t in (self.let, self.sil)}
+        sym = np.append(lm.sym, 0)
+        # By source symbol: an arc's cost with its letter written as that symbol.
+        self.match = np.stack([self.put[id(self.let)] + self.lex[s][sym[self.let]] for s in range(len(p.lex))])
+        self.src = np.append(lm.src, 0)
+
+    def _table(self, arcs: np.ndarray) -> np.ndarray:
+        """[context, k]: the arcs into a context, filled up with the number after the last arc."""
+        into = [arcs[self.lm.dst[arcs] == g] for g in range(self.lm.n)]
+        out = np.full((self.lm.n, max(1, *map(len, into))), self.A)
+        for g, x in enumerate(into):
+            out[g, : len(x)] = x
+        return out
+
+    def _relax(self, new, back, rows, cost, moves, table, weights, reads: int) -> None:
+        """Moves along arcs, those into one state together; ties go to the earlier arc, then to the earlier move."""
+        for t in dict.fromkeys(t for _, t, _ in moves):
+            mine = [(x, -np.log(w)) for x, y, w in moves if y == t]
+            each = np.stack([cost[:, x] + w for x, w in mine])
+            pick = each.argmin(axis=0)
+            c = np.take_along_axis(each, pick[None], 0)[0][:, self.src[table]] + weights
+            k = c.argmin(axis=2)
+            c = np.take_along_axis(c, k[:, :, None], 2)[:, :, 0]
+            arc = table[np.arange(len(table)), k]
+            state = np.array([x for x, _ in mine])[np.take_along_axis(pick, self.src[arc], 1)]
+            old = new[rows, t]
+            on = c < old - 1e-12
+            new[rows, t] = np.where(on, c, old)
+            back[rows, t] = np.where(on, (reads * self.S + state) * (self.A + 1) + arc, back[rows, t])
+
+    def _close(self, c, b) -> None:
+        every = slice(None)
+        for m in self.own.insert:
+            self._relax(c, b, every, c, [m], self.let, self.put[id(self.let)], 0)
+        self._relax(c, b, every, c, self.own.put_sil, self.sil, self.put[id(self.sil)], 0)
+        for s, t, w in self.own.start:
+            on = c[:, s] < c[:, t]
+            c[:, t][on], b[:, t][on] = c[:, s][on], s * (self.A + 1) + self.A
+
+    def decode(self, seqs: list[list[int]]) -> list[tuple[list[int], float]]:
+        out: list = [None] * len(seqs)
+        order, at = sorted(range(len(seqs)), key=lambda k: -len(seqs[k])), 0
+        while at < len(order):
+            one = (len(seqs[order[at]]) + 1) * self.S * self.lm.n * np.dtype(self.kind).itemsize
+            group = order[at : at + max(1, min(self.MOST, self.ROOM // one))]
+            for k, found in zip(group, self._group([seqs[k] for k in group])):
+                out[k] = found
+            at += len(group)
+        return out
+
+    def _group(self, seqs: list[list[int]]) -> list[tuple[list[int], float]]:
+        """Sequences from the longest to the shortest; those that have ended are left out of later positions."""
+        lengths = np.array([len(s) for s in seqs])
+        syms = np.zeros((len(seqs), int(lengths.max())), np.int64)
+        for k, s in enumerate(seqs):
+            syms[k, : len(s)] = s
+        cost, ends = np.full((len(seqs), self.S, self.lm.n), np.inf), [None] * len(seqs)
+        cost[:, 0, 0] = 0
+        links = []
+        for t in range(syms.shape[1] + 1):
+            if t:
+                live = int((lengths >= t).sum())
+                new, back = np.full((live, self.S, self.lm.n), np.inf), np.full((live, self.S, self.lm.n), -1, self.kind)
+                s, cost = syms[:live, t - 1], cost[:live]
+                rows = np.flatnonzero(s == SIL)
+                if len(rows):
+                    self._relax(new, back, rows, cost[rows], self.own.read_sil, self.sil, self.put[id(self.sil)], 1)
+                rows = np.flatnonzero(s != SIL)
+                if len(rows):
+                    self._relax(new, back, rows, cost[rows], self.own.match, self.let, self.match[s[rows]], 1)
+                    for x, y, w in self.own.delete:
+                        c, old = cost[rows, x] - np.log(w) + self.lex[s[rows], -1][:, None], new[rows, y]
+                        on = c < old
+                        new[rows, y] = np.where(on, c, old)
+                        back[rows, y] = np.where(on, (self.S + x) * (self.A + 1) + self.A, back[rows, y])
+                least = new.min(axis=(1, 2), keepdims=True)
+                new[new > least + self.beam] = np.inf
+            else:
+                new, back = cost, np.full(cost.shape, -1, self.kind)
+            self._close(new, back)
+            links.append(back)
+            cost = new
+            for k in np.flatnonzero(lengths[: len(cost)] == t):
+                ends[k] = np.unravel_index(np.argmin(cost[k]), cost[k].shape), float(cost[k].min())
+        return [self._trace(links, k, int(n), *end) for k, (n, end) in enumerate(zip(lengths, ends))]
+
+    def _trace(self, links: list[np.ndarray], k: int, t: int, at: tuple, cost: float) -> tuple[list[int], float]:
+        if not np.isfinite(cost):
+            return [], np.inf
+        (s, g), out = at, []
+        while (code := int(links[t][k, s, g])) >= 0:
+            move, arc = divmod(code, self.A + 1)
+            reads, s = divmod(move, self.S)
+            t -= reads
+            if arc < self.A:
+                out.append(int(self.lm.sym[arc]))
+                g = self.lm.src[arc]
+        return out[::-1], cost
+
+
 def expectations(obs: DataFrame, params: list[Parameters], lm: LetterModel) -> DataFrame:
     """(restart, kind, src, dst, c) over (utt_id, syms): 'lex' counts, alignment kinds, 'cost' and 'failed'. Summed over partitions."""
     shared = obs.sparkSession.sparkContext.broadcast((params, lm))
@@ -345,13 +469,10 @@ def decode(obs: DataFrame, params: Parameters, lm: LetterModel, power: float = 1
     shared = obs.sparkSession.sparkContext.broadcast((Parameters(params.lex**power, params.arcs), lm))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(*shared.value)
+        decoder = BatchDecoder(*shared.value, beam)
         for b in batches:
-            rows = []
-            for utt, seq in zip(b["utt_id"], b["syms"]):
-                tokens, cost = lattice.best([int(x) for x in seq], beam)
-                if np.isfinite(cost) or not drop_empty:
-                    rows.append((utt, tokens, cost))
+            found = decoder.decode([list(map(int, seq)) for seq in b["syms"]])
+            rows = [(utt, tokens, cost) for utt, (tokens, cost) in zip(b["utt_id"], found) if np.isfinite(cost) or not drop_empty]
             yield pd.DataFrame(rows, columns=["utt_id", "tokens", "cost"])
 
     kind = dict(obs.dtypes)["utt_id"]

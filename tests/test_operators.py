@@ -111,3 +111,25 @@ def test_em_never_gets_worse(spark):
     cipher.Lattice(p, lm).expect([1, 2, 3, 1, 4], lex, ops)
     assert np.isclose(lex.sum() + sum(c for (_, _, k), c in ops.items() if k == "read_silence"), 5)
     assert cipher.decode(obs, fitted[0], lm).count() == 8
+
+
+def test_batched_paths_cost_as_single_ones():
+    p, lm = small()
+    rng = np.random.default_rng(4)
+    seqs = [[1, *map(int, rng.integers(1, 5, n))] for n in (0, 3, 9, 3, 70, 1)] + [[]]
+    for beam in (np.inf, 12.0):
+        own = cipher.Lattice(p, lm)
+        for seq, (tokens, cost) in zip(seqs, cipher.BatchDecoder(p, lm, beam).decode(seqs)):
+            alone = own.best(seq, beam)
+            assert np.isclose(cost, alone[1]) and tokens == alone[0]
+
+
+def test_cipher_queries_take_all_lines_whole(spark):
+    from conftest import SF
+    from glyphlake.plans import catalogue
+
+    rows, obs = catalogue._cipher(spark, SF)
+    lines = obs.select("plain", F.size("syms").alias("n")).collect()
+    assert len(lines) == rows.count() > 16 and all(r["n"] == len(r["plain"]) + 1 for r in lines) and max(r["n"] for r in lines) > 41
+    used = [len(r["syms"]) - 1 for r in catalogue._training(spark, obs).collect()]
+    assert 0 <= sum(used) - catalogue.CIPHER_SYMBOLS < max(used)
