@@ -56,17 +56,31 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens to id; the file's library takes them out of a text before it is cut into words."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token has options that aren't supported")
+    return {x["content"]: x["id"] for x in added}
+
+
 _coders: dict[int, tuple] = {}
 
 
 def worker_coder(shared):
-    """The library encoder of a broadcast (token bytes to id, pattern); one per Python worker."""
+    """The encoding function of a broadcast (token bytes to id, added tokens, pattern); one per Python worker."""
     if id(shared) not in _coders:
         import tiktoken
 
-        ranks, pattern = shared.value
+        ranks, added, pattern = shared.value
+        library = tiktoken.Encoding("shared", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+
+        def encode(text: str) -> list[int]:
+            return library.encode(text, allowed_special="all") if any(x in text for x in added) else library.encode_ordinary(text)
+
         _coders.clear()
-        _coders[id(shared)] = shared, tiktoken.Encoding("shared", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _coders[id(shared)] = shared, encode
     return _coders[id(shared)][1]
 
 
@@ -133,10 +147,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """One row per piece. The broadcast is the vocabulary, of fixed size."""
     import public_tokenizers
 
-    shared = docs.sparkSession.sparkContext.broadcast((read_vocabulary(vocabulary_path or public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN))
+    path = vocabulary_path or public_tokenizers.path("byte_bpe_50k.json")
+    shared = docs.sparkSession.sparkContext.broadcast((read_vocabulary(path), read_added(path), public_tokenizers.PATTERN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_coder(shared).encode_ordinary
+        encode = worker_coder(shared)
         packer = HarmonicPacker(TaskContext.get().partitionId() << 40, capacity)
 
         def out() -> Iterator[pa.RecordBatch]:

@@ -117,6 +117,19 @@ def test_packing(spark):
     assert (used.length.sum() <= 1024).all() and all((g.offset.to_numpy() == np.cumsum([0, *g.length[:-1]])).all() for _, g in used)
 
 
+def test_packing_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext", "no added token"]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = {r["doc_id"]: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1), capacity=1 << 20).collect()}
+    for k, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, packing.END], "<u4")
+        assert (got[k]["doc_tokens"], got[k]["length"]) == (len(ids), len(ids)) and got[k]["ids_crc32"] == zlib.crc32(ids.tobytes())
+
+
 def test_ledger(spark, tmp_path):
     schema = "doc_id long, source string, lang string, tokenizer string, n_tokens long"
     old = spark.createDataFrame([(1, "a", None, "t", 5), (2, "a", None, "t", 7)], schema)
