@@ -1,8 +1,8 @@
 """Operator 3 (native): licence scan by a positional rare-token index.
 
 Templates are indexed as postings (word, template, position). Corpus-wide document counts of the
-licence words give their IDF. Each file's highest-IDF licence words are looked up in the postings;
-every hit votes for a template at a relative position (file position minus template position), the
+licence words give their IDF. For each template with a key phrase in the file, the file's highest-IDF words of
+that template are looked up in the postings; every hit votes for the template at a relative position (file position minus template position), the
 best-supported place of each template gives its score, and a template's label stands only if one of its
 mandatory key phrases is in the file. The base labels come from phrases alone.
 
@@ -36,7 +36,7 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted bsd license", ["bsd license", "redistribution and use in source and binary forms"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
 ]
-#: Words of a file that are looked up, highest IDF first.
+#: Words of a file that are looked up for each template, highest IDF first.
 RARE = 8
 #: Share of a template's looked-up weight that must agree on one place.
 AGREE = 0.5
@@ -82,17 +82,13 @@ def _base(words: Column) -> Column:
     return F.concat(*[labelled(_places(words, p.split()), label) for p, label in PHRASES.items()])
 
 
-def _weight(rare: Column, own: list[str]) -> Column:
-    return F.aggregate(rare, F.lit(0.0), lambda a, y: a + F.when(y["w"].isin(own), -y["o"]).otherwise(0.0))
-
-
-def _best_place(votes: Column, template: int) -> Column:
-    """The largest sum of IDF over the votes of one template that agree on an offset."""
+def _best_place(votes: Column) -> Column:
+    """The largest sum of IDF over votes that agree on an offset."""
 
     def at(m: Column, o: Column) -> Column:
         return F.aggregate(F.filter(m, lambda x: x["offset"] == o), F.lit(0.0), lambda a, x: a + x["idf"])
 
-    return let(F.filter(votes, lambda x: x["t"] == template), lambda m: F.array_max(F.transform(F.array_distinct(F.transform(m, lambda x: x["offset"])), lambda o: at(m, o))))
+    return let(votes, lambda m: F.array_max(F.transform(F.array_distinct(F.transform(m, lambda x: x["offset"])), lambda o: at(m, o))))
 
 
 def _literal_map(values: dict[str, object], to) -> Column:
@@ -101,33 +97,33 @@ def _literal_map(values: dict[str, object], to) -> Column:
 
 def _method(words: Column, idf: dict[str, float]) -> Column:
     """Array of struct(label, score) of the templates that stand in the file."""
-    postings = {w: [(t, i) for t, (_, wording, _) in enumerate(TEMPLATES) for i, x in enumerate(wording.split()) if x == w] for w in VOCABULARY}
-    index = _literal_map({w: p for w, p in postings.items() if p}, lambda p: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in p]))
     weight = _literal_map(idf, F.lit)
     hits = F.filter(F.transform(words, lambda w, i: F.struct(F.when(w.isin(VOCABULARY), weight[w]).alias("idf"), w.alias("w"), i.alias("at"))), lambda h: h["idf"].isNotNull())
 
+    def score(h: Column, wording: list[str]) -> Column:
+        postings = _literal_map({w: [i for i, x in enumerate(wording) if x == w] for w in sorted(set(wording))}, lambda p: F.array(*map(F.lit, p)))
+
+        def of_rare(mine: Column, rare: Column) -> Column:
+            chosen = F.filter(mine, lambda x: F.exists(rare, lambda y: y["w"] == x["w"]))
+            votes = F.flatten(F.transform(chosen, lambda x: F.transform(postings[x["w"]], lambda i: F.struct((x["at"] - i).alias("offset"), x["idf"].alias("idf")))))
+            reach = F.aggregate(rare, F.lit(0.0), lambda a, y: a - y["o"])
+            return F.when(reach > 0, F.least(F.lit(1.0), F.coalesce(_best_place(votes), F.lit(0.0)) / reach)).otherwise(F.lit(0.0))
+
+        def of_words(mine: Column) -> Column:
+            # The template's highest-IDF words in the file (ties by the word).
+            rare = F.slice(F.sort_array(F.array_distinct(F.transform(mine, lambda x: F.struct((-x["idf"]).alias("o"), x["w"].alias("w"))))), 1, RARE)
+            return let(rare, lambda r: of_rare(mine, r))
+
+        return let(F.filter(h, lambda x: x["w"].isin(sorted(set(wording)))), of_words)
+
     def scored(h: Column) -> Column:
-        # The file's highest-IDF licence words (ties by the word).
-        rare = F.slice(F.sort_array(F.array_distinct(F.transform(h, lambda x: F.struct((-x["idf"]).alias("o"), x["w"].alias("w"))))), 1, RARE)
-
-        def with_rare(r: Column) -> Column:
-            chosen = F.filter(h, lambda x: F.exists(r, lambda y: y["w"] == x["w"]))
-            votes = F.flatten(F.transform(chosen, lambda x: F.transform(F.coalesce(index[x["w"]], F.array().cast("array<struct<t:int,i:int>>")), lambda p: F.struct(p["t"].alias("t"), (x["at"] - p["i"]).alias("offset"), x["idf"].alias("idf")))))
-
-            def per_template(v: Column) -> Column:
-                out = []
-                for t, (label, wording, keys) in enumerate(TEMPLATES):
-                    reach, best = _weight(r, sorted(set(wording.split()))), _best_place(v, t)
-                    key = F.lit(False)
-                    for k in keys:
-                        key = key | (F.size(_places(words, k.split())) > 0)
-                    score = F.when(reach > 0, F.least(F.lit(1.0), F.coalesce(best, F.lit(0.0)) / reach)).otherwise(F.lit(0.0))
-                    out.append(F.when(key, F.struct(F.lit(label).alias("label"), score.alias("score"))))
-                return F.filter(F.array(*out), lambda x: x.isNotNull() & (x["score"] >= AGREE))
-
-            return let(votes, per_template)
-
-        return let(rare, with_rare)
+        out = []
+        for label, wording, keys in TEMPLATES:
+            key = F.lit(False)
+            for k in keys:
+                key = key | (F.size(_places(words, k.split())) > 0)
+            out.append(F.when(key, F.struct(F.lit(label).alias("label"), score(h, wording.split()).alias("score"))))
+        return F.filter(F.array(*out), lambda x: x.isNotNull() & (x["score"] >= AGREE))
 
     return let(hits, scored)
 

@@ -64,6 +64,14 @@ def test_licence_places(spark):
     assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (8, 2, 3, 6, "mit")
 
 
+def test_licences_of_one_file(spark):
+    every = " and ".join(wording for _, wording, _ in licenses.TEMPLATES)
+    rows = [(1, every), *[(2 + k, wording) for k, (_, wording, _) in enumerate(licenses.TEMPLATES)], *[(20 + k, "plain words of a text") for k in range(20)]]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {label for label, _, _ in licenses.TEMPLATES} <= got[1]
+    assert all(label in got[2 + k] for k, (label, _, _) in enumerate(licenses.TEMPLATES))
+
+
 def test_fingerprints(spark):
     a, b = "One. Two two.\nThree! Four", "Three! Two two.\nOne. Four"
     v = {r["doc_id"]: r["v"] for r in fingerprints.fingerprint(spark.createDataFrame([(1, "aa. bb. "), (2, "bb. aa. "), (3, "aa. "), (4, "bb. "), (5, "aa. aa. ")], "doc_id long, text string")).collect()}
