@@ -9,8 +9,8 @@ id. Only suffixes that can be repeated are sorted, and only through their first
 2. Consecutive windows with one pick form a run. For picks that two documents share, the text under a
    run goes to the pick's partition, once for equal runs of a partition: the others know then that
    all their windows stand in a smaller document.
-3. There, runs with equal text are settled by the smallest id; the rest of a pick's windows are sorted
-   as suffixes by most-significant-digit passes of eight bytes. Groups that stay equal through the last
+3. There, runs whose bytes are equal (compared, not only their hashes) are settled by the smallest id; the rest of
+   a pick's windows are sorted as suffixes by most-significant-digit passes of eight bytes. Groups that stay equal through the last
    pass are exactly the repeated windows, and the smallest id in a group keeps its bytes.
 
 So what moves is bounded by the number of picks (about one in 18 bytes) and the text under shared
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import SpanHash, documents
+from glyphlake.llm.common import SpanHash, documents, mix64
 
 DEPTH, GRAM = 50, 16
 #: Bytes of text that a worker looks at together.
@@ -107,8 +107,10 @@ def _batch(names: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Record
 
 _MARKS = [("part", pa.int32()), ("docs", pa.binary()), ("marks", pa.binary()), ("known", pa.bool_())]
 #: gram, key, doc, start, rel and signed size of each run (see _pack_runs), and the text.
-_TELL = [("doc_id", pa.int64()), ("shared", pa.binary())]
+_TELL = [("home", pa.int32()), ("docs", pa.binary()), ("marks", pa.binary())]
+_TOLD = [("doc_id", pa.int64()), ("shared", pa.binary())]
 _RUNS = [("part", pa.int32()), ("settled", pa.bool_()), ("runs", pa.binary()), ("text", pa.binary())]
+_FOUND = [("home", pa.int32()), ("docs", pa.binary()), ("spans", pa.binary())]
 _SPANS = [("doc_id", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())]
 _ddl = lambda names: ", ".join(f"{n} {({'int32': 'int', 'int64': 'long', 'binary': 'binary', 'bool': 'boolean'})[str(t)]}" for n, t in names)
 
@@ -210,45 +212,83 @@ def _cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(sorted_keys[a]), int(a), int(b)
 
 
-def _tell(d: np.ndarray, m: np.ndarray) -> list[tuple]:
-    order = np.argsort(d, kind="stable")
-    d, m = d[order], m[order]
-    return [(doc, _pack40(m[a:b])) for doc, a, b in _cuts(d)]
-
-
-def _share_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs, marks, flags = [], [], []
-    for batch in batches:
-        for d, m, flag in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            d, m = _unpack_docs(d), _unpack40(m)
-            if flag is None:
-                yield _batch(_TELL, _tell(d, m))
-            else:
-                docs.append(d)
-                marks.append(m)
-                flags.append(np.full(len(d), flag))
+def _homes(d: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(home, rows sorted by document) of each home of the documents ``d``."""
+    order = np.lexsort((d, d % parts))
+    for home, a, b in _cuts((d % parts)[order]):
+        yield home, order[a:b]
+
+
+def _tell(d: np.ndarray, m: np.ndarray, parts: int) -> list[tuple]:
+    """One row for each home of the documents."""
+    return [(home, _pack_docs(d[x]), zstandard.compress(_pack40(m[x]), 1)) for home, x in _homes(d, parts)]
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At home: what all partitions told of a document, in one row."""
+    docs, marks = [], []
+    for b in batches:
+        docs += map(_unpack_docs, b.column(1).to_pylist())
+        marks += [_unpack40(zstandard.decompress(x)) for x in b.column(2).to_pylist()]
     if not docs:
         return
-    d, m, f = np.concatenate(docs), np.concatenate(marks), np.concatenate(flags)
-    del docs, marks, flags
-    order = np.argsort(m, kind="stable")
-    d, m, f = d[order], m[order], f[order]
-    head = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-    count = np.diff(np.append(head, len(m)))
-    shared = np.logical_or.reduceat(f, head) | (np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head))
-    on = np.repeat(shared, count)
-    yield _batch(_TELL, _tell(d[on], m[on]))
+    d, m = np.concatenate(docs), np.concatenate(marks)
+    del docs, marks
+    order = np.argsort(d, kind="stable")
+    d, m = d[order], m[order]
+    rows = [(doc, _pack40(m[a:b])) for doc, a, b in _cuts(d)]
+    for at in range(0, len(rows), 20_000):
+        yield _batch(_TOLD, rows[at : at + 20_000])
+
+
+def _share_marks(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, marks, flags, known = [], [], [], []
+        for batch in batches:
+            for d, m, flag in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                d, m = _unpack_docs(d), _unpack40(m)
+                if flag is None:
+                    known.append((d, m))
+                else:
+                    docs.append(d)
+                    marks.append(m)
+                    flags.append(np.full(len(d), flag))
+        if docs:
+            d, m, f = np.concatenate(docs), np.concatenate(marks), np.concatenate(flags)
+            del docs, marks, flags
+            order = np.argsort(m, kind="stable")
+            d, m, f = d[order], m[order], f[order]
+            head = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+            count = np.diff(np.append(head, len(m)))
+            shared = np.logical_or.reduceat(f, head) | (np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head))
+            on = np.repeat(shared, count)
+            known.append((d[on], m[on]))
+        if known:
+            yield _batch(_TELL, _tell(np.concatenate([x[0] for x in known]), np.concatenate([x[1] for x in known]), parts))
+
+    return run
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes (eight at least) at ``a`` and at ``b`` are equal."""
+    words = np.ndarray(max(0, len(data) - 7), "<u8", data, 0, (1,))
+    n = (size + 7) // 8
+    which = np.repeat(np.arange(len(a)), n)
+    inside = np.minimum(8 * (np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)), size[which] - 8)
+    differ = words[a[which] + inside] != words[b[which] + inside]
+    return np.bincount(which[differ], minlength=len(a)) == 0
 
 
 def _send_runs(parts: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, 3):
             doc, first, rel, size, gram, key, src = [], [], [], [], [], [], []
+            base = np.cumsum([0, *[len(x[1]) for x in block[:-1]]])
             for k, (d, data, told) in enumerate(block):
                 if not told or d is None or len(data) < depth:
                     continue
                 a, b, place, full, h = picks(data, depth)
-                on = np.isin(full >> np.uint64(24), _unpack40(b"".join(told)))
+                on = np.isin(full >> np.uint64(24), _unpack40(told))
                 a, b, place, full = a[on], b[on], place[on], full[on]
                 doc.append(np.full(len(a), d, np.int64))
                 first.append(a)
@@ -267,6 +307,14 @@ def _send_runs(parts: int, depth: int):
             head = np.flatnonzero(new)
             count = np.diff(np.append(head, len(key)))
             settled = doc > np.repeat(doc[head], count)
+            # Equal keys settle nothing before the bytes have been compared; a run that only looked equal goes its own way.
+            whole = np.frombuffer(b"".join([x[1] for x in block]), np.uint8)
+            at = base[src] + first
+            x = np.flatnonzero(~new)
+            lead = np.repeat(head, count)
+            odd = x[~_same_bytes(whole, at[x], at[lead[x]], size[x])]
+            key[odd] = mix64(odd.astype(np.uint64) ^ key[odd])
+            new[odd], settled[odd] = True, False
             rows = []
             x = np.flatnonzero(settled)
             if len(x):
@@ -288,23 +336,62 @@ def _send_runs(parts: int, depth: int):
     return run
 
 
-def _told_spans(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, with the union of what was found of it here."""
+def _tell_spans(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """A row for each home, with the union of what was found of its documents here."""
     if found:
         doc, start, end = (np.concatenate(x).astype(np.int64) for x in zip(*found))
-        order = np.lexsort((start, doc))
-        doc, start, end = doc[order], start[order], end[order]
         rows = []
-        for d, a, b in _cuts(doc):
-            s, e = merged(start[a:b], end[a:b])
-            rows.append((d, s.tobytes(), e.tobytes()))
-        for at in range(0, len(rows), 20_000):
-            yield _batch(_SPANS, rows[at : at + 20_000])
-
-
-def _sort_runs(depth: int):
+        for home, x in _homes(doc, parts):
+            ids, s, e = [], [], []
+            for d, a, b in _cuts(doc[x]):
+                p, q = merged(start[x[a:b]], end[x[a:b]])
+                ids.append(np.full(len(p), d, np.int64))
+                s.append(p)
+                e.append(q)
+            rows.append((home, _pack_docs(np.concatenate(ids)), zstandard.compress(np.concatenate([*s, *e]).tobytes(), 1)))
+        yield _batch(_FOUND, rows)
+
+
+def _home_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At home: a row for each document, with the union of what was found of it anywhere."""
+    docs, starts, ends = [], [], []
+    for b in batches:
+        for d, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            s, e = np.frombuffer(zstandard.decompress(x), np.int64).reshape(2, -1)
+            docs.append(_unpack_docs(d))
+            starts.append(s)
+            ends.append(e)
+    if not docs:
+        return
+    d, s, e = map(np.concatenate, (docs, starts, ends))
+    order = np.argsort(d, kind="stable")
+    d, s, e = d[order], s[order], e[order]
+    rows = []
+    for doc, a, b in _cuts(d):
+        p, q = merged(s[a:b], e[a:b])
+        rows.append((doc, p.tobytes(), q.tobytes()))
+    for at in range(0, len(rows), 20_000):
+        yield _batch(_SPANS, rows[at : at + 20_000])
+
+
+def _confirmed(data: np.ndarray, gram: np.ndarray, key: np.ndarray, size: np.ndarray, off: np.ndarray, sent: np.ndarray) -> np.ndarray:
+    """Keys under which only runs with equal bytes stand together; runs without a text of their own follow the one they were sent with."""
+    has = np.flatnonzero(off >= 0)
+    order = has[np.lexsort((key[has], gram[has]))]
+    lead = order[np.maximum.accumulate(np.where(np.append(True, (gram[order][1:] != gram[order][:-1]) | (key[order][1:] != key[order][:-1])), np.arange(len(order)), 0))]
+    alike = size[order] == size[lead]
+    alike[alike] = _same_bytes(data, off[order[alike]], off[lead[alike]], size[order[alike]])
+    if alike.all():
+        return key
+    key = key.copy()
+    for k in order[~alike].tolist():
+        key[(sent == sent[k]) & (key == key[k]) & (gram == gram[k])] = mix64(np.array([(sent[k] << 40) ^ k], np.uint64))[0]
+    return key
+
+
+def _sort_runs(parts: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(8)]
         texts, base = [], 0
         # A document's spans of this partition are told in one row.
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -318,17 +405,18 @@ def _sort_runs(depth: int):
                 has = size > 0
                 size = np.abs(size)
                 off = np.where(has, base + np.cumsum(size * has) - size * has, -1)
-                for c, v in zip(cols, (gram, key, doc, start, rel, size, off)):
+                for c, v in zip(cols, (gram, key, doc, start, rel, size, off, np.full(len(doc), len(texts)))):
                     c.append(v)
                 texts.append(text)
                 base += len(text)
         if not texts:
-            yield from _told_spans(found)
+            yield from _tell_spans(found, parts)
             return
-        gram, key, doc, start, rel, size, off = map(np.concatenate, cols)
+        gram, key, doc, start, rel, size, off, sent = map(np.concatenate, cols)
         del cols
         data = np.frombuffer(b"".join(texts), np.uint8)
         del texts
+        key = _confirmed(data, gram, key, size, off, sent)
         order = np.lexsort((doc, key, gram))
         gram, key, doc, start, rel, size, off = (x[order] for x in (gram, key, doc, start, rel, size, off))
         new = np.append(True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1]))
@@ -373,7 +461,7 @@ def _sort_runs(depth: int):
             rows = owners[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
             s = start[rows] + np.repeat(inside[hit], times)
             found.append((doc[rows], s, s + depth))
-        yield from _told_spans(found)
+        yield from _tell_spans(found, parts)
 
     return run
 
@@ -390,23 +478,24 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): spans of bytes to remove, in pieces that may overlap; only documents that have some."""
+    """(doc_id, starts, ends): maximal spans of bytes to remove, packed; only documents that have some.
+
+    What goes from one set of partitions to the next is one packed row for each pair of partitions, whatever the number of documents.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Several numbers for each partition, so that hashing them again deals them evenly.
     parts *= 4
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     marks = texts.mapInArrow(_send_marks(parts, depth), _ddl(_MARKS))
-    told = marks.repartition("part").mapInArrow(_share_marks, _ddl(_TELL)).groupBy("doc_id").agg(F.collect_list("shared").alias("shared"))
+    told = marks.repartition("part").mapInArrow(_share_marks(parts), _ddl(_TELL)).repartition("home").mapInArrow(_told, _ddl(_TOLD))
     # A left join, like the last one, so that both can read one exchange of the texts.
     runs = texts.join(told, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(_send_runs(parts, depth), _ddl(_RUNS))
-    spans = runs.repartition("part").mapInArrow(_sort_runs(depth), _ddl(_SPANS))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("spans"))
+    found = runs.repartition("part").mapInArrow(_sort_runs(parts, depth), _ddl(_FOUND))
+    return found.repartition("home").mapInArrow(_home_spans, _ddl(_SPANS))
 
 
-def _union(spans) -> tuple[np.ndarray, np.ndarray]:
-    s = np.concatenate([np.frombuffer(x["starts"], np.int64) for x in spans]) if spans else np.zeros(0, np.int64)
-    e = np.concatenate([np.frombuffer(x["ends"], np.int64) for x in spans]) if spans else np.zeros(0, np.int64)
-    return merged(s, e)
+def _spans(starts: bytes | None, ends: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(starts or b"", np.int64), np.frombuffer(ends or b"", np.int64)
 
 
 def cut(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -420,14 +509,14 @@ def cut(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Per row: bytes, removed bytes, maximal removed runs, digest of what is left, and the rest as a string."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    both = texts.join(repeated_spans(docs, depth), "doc_id", "left").select("doc_id", "text", "spans")
+    both = texts.join(repeated_spans(docs, depth), "doc_id", "left").select("doc_id", "text", "starts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, runs, sha = [], [], [], []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for text, starts, ends in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
                 data = _bytes(text)
-                s, e = _union(spans)
+                s, e = _spans(starts, ends)
                 n.append(len(data))
                 removed.append(int((e - s).sum()))
                 runs.append(len(s))
@@ -454,19 +543,19 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     Its own columns in their order; a null text stays null. Rows that lose nothing keep what they have.
     """
     spans = repeated_spans(docs, depth).withColumnRenamed("doc_id", "_span_doc")
-    both = docs.join(spans, docs["doc_id"] == spans["_span_doc"], "left").select(*[docs[c] for c in docs.columns], spans["spans"].alias("_spans"))
+    both = docs.join(spans, docs["doc_id"] == spans["_span_doc"], "left").select(*[docs[c] for c in docs.columns], spans["starts"].alias("_starts"), spans["ends"].alias("_ends"))
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            for k, x in enumerate(spans):
+            texts, starts, ends = (b.column(k).to_pylist() for k in (at, b.num_columns - 2, b.num_columns - 1))
+            for k, x in enumerate(starts):
                 if x and texts[k] is not None:
                     data = _bytes(texts[k])
-                    texts[k] = cut(data, *whole_characters(data, *_union(x))).decode("utf-8", "surrogatepass")
-            columns = [b.column(k) for k in range(b.num_columns - 1)]
+                    texts[k] = cut(data, *whole_characters(data, *_spans(x, ends[k]))).decode("utf-8", "surrogatepass")
+            columns = [b.column(k) for k in range(b.num_columns - 2)]
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-2])
 
     out = both.mapInArrow(run, schema)
     if "n_chars" in docs.columns:
