@@ -118,6 +118,44 @@ def test_near_duplicate_chain(spark):
     assert {got[k] for k in (*range(10, 16), 50)} == {10} and got[51] == 51
 
 
+def linked_by_brute_force(rows, words, percent):
+    """Smallest id reachable, by comparing all pairs of full sets."""
+    sets = [(i, {tuple(ws[k : k + words]) for k in range(len(ws) - words + 1)} or ({tuple(ws)} if ws else set())) for i, t in rows for ws in [(t or "").lower().split()]]
+    top = {i: i for i, _ in sets}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for k, (i, s) in enumerate(sets):
+        for j, t in sets[:k]:
+            if s and t and 100 * len(s & t) >= percent * len(s | t) and root(i) != root(j):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    return {i: root(i) for i in top}
+
+
+@pytest.mark.parametrize("star", [1_000_000, 3_000])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, star):
+    """A large group of near copies, some beyond the threshold from the first; with small stars, dealt over several tasks."""
+    monkeypatch.setattr(neardup, "STAR", star)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(300):
+        ws = list(base)
+        for _ in range(rng.randrange(9)):
+            ws[rng.randrange(90)] = f"w{rng.randrange(90)}"
+        rows.append((k, " ".join(ws)))
+    rows += [(1000 + k, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 40)))) for k in range(100)] + [(2000, None), (2001, ""), (2002, rows[5][1])]
+    # One id with two texts links what each of them is linked with.
+    rows += [(5000, "aa bb cc dd ee ff"), (5000, "gg hh ii jj kk ll"), (5001, "aa bb cc dd ee ff"), (5002, "gg hh ii jj kk ll")]
+    want = linked_by_brute_force([r for r in rows if r[0] != 5000], 3, 85) | {k: 5000 for k in (5000, 5001, 5002)}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 85).collect()}
+    assert got == want and len(set(want.values())) > 100
+
+
 def test_packing(spark):
     p = packing.op9_packing(spark, SF).toPandas()
     assert (p.groupby("doc_id").length.sum() == p.groupby("doc_id").doc_tokens.first()).all()
