@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections.abc import Callable, Iterable
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 UNK = "<unk>"
+#: A word is what stands between white space, without what is neither a letter nor a digit at its edges.
+_EDGES = r"(?<!\S)[^\p{L}\p{N}\s]++|[^\p{L}\p{N}\s]++(?!\S)"
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-#: Java names of scripts.
-SCRIPTS = {"latin": "IsLatin", "cyrillic": "IsCyrillic", "greek": "IsGreek", "arabic": "IsArabic", "hebrew": "IsHebrew", "devanagari": "IsDevanagari", "georgian": "IsGeorgian", "armenian": "IsArmenian", "thai": "IsThai", "hangul": "IsHangul"}
+#: Parts of Unicode names that keep a character out of a script's letters, and those of sentence punctuation.
+NOT_LETTERS = ("DIGIT", "NUMBER", "PUNCTUATION")
+SENTENCE_MARKS = ("COMMA", "SEMICOLON", "FULL STOP", "EXCLAMATION MARK", "QUESTION MARK")
+
+
+def char_class(chars: Iterable[str]) -> str:
+    """The inside of a regular-expression class that holds exactly ``chars``, as ranges; both Java and RE2 read it."""
+    out: list[list[int]] = []
+    for c in sorted(set(map(ord, chars))):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in out)
+
+
+@cache
+def _named(rule: Callable[[str], bool]) -> str:
+    return char_class(c for c in map(chr, range(sys.maxunicode + 1)) if (n := unicodedata.name(c, "")) and rule(n))
+
+
+@cache
+def script_class(script: str) -> str:
+    """Characters whose Unicode name has the script's name and no part of ``NOT_LETTERS``; unnamed ones are out."""
+    want = script.upper()
+    return _named(lambda n: want in n and not any(x in n for x in NOT_LETTERS))
+
+
+@cache
+def sentence_marks() -> str:
+    """Characters whose Unicode name says sentence punctuation."""
+    return _named(lambda n: any(x in n for x in SENTENCE_MARKS))
 
 
 @F.pandas_udf(StringType())
@@ -34,9 +69,15 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", escap
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
+def composed(line: Column) -> Column:
+    """NFC. All characters below U+0300 compose to themselves, so only lines with others carry their text to Python and back."""
+    odd = F.when(line.rlike(r"[^\x00-\x{2FF}]"), line)
+    return F.coalesce(nfc(odd), line)
+
+
 def canonical(line: Column) -> Column:
-    """Strip, NFC and lower case. Only lines with characters beyond Latin-1 letters can change under NFC and go through Python."""
-    return F.lower(nfc(F.regexp_replace(line, r"^\s+|\s+$", "")))
+    """Strip, NFC and lower case, in this order."""
+    return F.lower(composed(F.regexp_replace(line, r"^\s+|\s+$", "")))
 
 
 def words(line: Column) -> Column:
@@ -48,31 +89,34 @@ def has_triple(word: Column) -> Column:
     return word.rlike(r"([^ ])\1\1")
 
 
-def marked(tokens: Column, allowed: str) -> Column:
-    """Words with a triple letter, or with a character outside ``allowed`` (a regular-expression class), become <unk>."""
-    return F.transform(tokens, lambda w: F.when(has_triple(w) | ~w.rlike(f"^[{allowed}]+$"), F.lit(UNK)).otherwise(w))
+def marked(line: Column, allowed: str) -> Column:
+    """The line's words, one space between them; those with a triple letter or a character outside the class ``allowed`` become <unk>."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(line, _EDGES, ""), r"\s+", " "))
+    return F.regexp_replace(clean, rf"(?<!\S)(?:(?=\S*?(\S)\1\1)|(?=\S*?[^{allowed}\s]))\S++", UNK)
 
 
-def reject_reason(tokens: Column, line: Column) -> Column:
+def reject_reason(line: Column, n_words: Column) -> Column:
     """Why a normalised line is rejected, or null; the rules apply in this order."""
-    unks = F.size(F.filter(tokens, lambda w: w == UNK))
+    unks = (F.length(line) - F.length(F.replace(line, F.lit(UNK), F.lit("")))) / len(UNK)
     return (
-        F.when(F.size(tokens) < 5, F.lit("short"))
-        .when(unks / F.size(tokens) >= 0.2, F.lit("oov"))
+        F.when(n_words < 5, F.lit("short"))
+        .when(unks / n_words >= 0.2, F.lit("oov"))
         .when(line.rlike(r"\b[^ ] [^ ] [^ ]\b"), F.lit("single_letters"))
         .when(line.rlike(r"(\b[^ ]+\b )\1\1"), F.lit("repeats"))
     )
 
 
 def normalise(src: DataFrame, script: str = "latin", letters: str | None = None) -> DataFrame:
-    """(doc_id, line_no, line, n_words, reason) of (doc_id, line_no, line) rows; ``letters`` replaces the script."""
-    allowed = rf"\p{{{SCRIPTS[script]}}}" if letters is None else letters
-    def judged(w: Column) -> Column:
-        return bound(F.array_join(w, " "), lambda line: F.struct(line.alias("line"), F.size(w).cast("long").alias("n_words"), reject_reason(w, line).alias("reason")))
+    """(doc_id, line_no, line, n_words, reason) of (doc_id, line_no, line) rows; ``letters``, the inside of a class, replaces the script's."""
+    allowed = script_class(script) if letters is None else letters
+
+    def judged(line: Column) -> Column:
+        n = F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("long")
+        return F.struct(line.alias("line"), n.alias("n_words"), reject_reason(line, n).alias("reason"))
 
-    row = bound(marked(words(F.lower(F.regexp_replace("line", r"^\s+|\s+$", ""))), allowed), judged)
+    ready = src.select("doc_id", "line_no", canonical(F.col("line")).alias("line"))
     # A generator keeps later filters from being pushed down, where they would evaluate all of this again.
-    return src.select("doc_id", "line_no", F.inline(F.array(row)))
+    return ready.select("doc_id", "line_no", F.inline(F.array(bound(marked(F.col("line"), allowed), judged))))
 
 
 def accepted(src: DataFrame, **options) -> DataFrame:
@@ -80,12 +124,18 @@ def accepted(src: DataFrame, **options) -> DataFrame:
 
 
 def alphabet(norm: DataFrame, least: float = 1e-4) -> DataFrame:
-    """Characters with a share of at least ``least``, without sentence punctuation."""
-    chars = norm.select(F.explode(F.split(F.replace(F.replace("line", F.lit(UNK), F.lit("")), F.lit(" "), F.lit("")), "")).alias("ch")).where("ch <> ''")
-    counts = chars.groupBy("ch").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    shares = counts.crossJoin(F.broadcast(total)).select("ch", "n", (F.col("n") / F.col("total")).alias("share"))
-    return shares.where((F.col("share") >= least) & ~F.col("ch").rlike("[,;.!?]"))
+    """Characters with a share of at least ``least``, without sentence punctuation. Counted by distinct words first."""
+    words = norm.select(F.explode(F.split("line", " ")).alias("w")).where(f"w not in ('', '{UNK}')").groupBy("w").agg(F.count("*").alias("k"))
+    chars = words.select("k", F.explode(F.split("w", "")).alias("ch")).where("ch <> ''")
+    counts = chars.groupBy("ch").agg(F.sum("k").alias("n"))
+    # One row for each character, so one partition holds the window.
+    shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return shares.where((F.col("share") >= least) & ~F.col("ch").rlike(f"[{sentence_marks()}]"))
+
+
+def allowed_letters(sample: DataFrame, least: float = 1e-4) -> str:
+    """The class of the characters that ``alphabet`` keeps: one over ``least`` at most, brought to the driver."""
+    return char_class(r["ch"] for r in alphabet(sample, least).collect())
 
 
 @F.pandas_udf(StringType())

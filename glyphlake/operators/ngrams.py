@@ -10,19 +10,32 @@ from glyphlake.functions.text import UNK
 SIL = "_"
 
 
-def letters(line: Column) -> Column:
+def line_words(line: Column) -> Column:
+    """A normalised line's words without the unknown ones."""
+    return F.filter(F.split(line, " "), lambda w: ~w.isin("", UNK))
+
+
+def letters(words: Column) -> Column:
     """Letters with silence between words and at both ends."""
-    clean = F.regexp_replace(F.trim(F.replace(line, F.lit(UNK), F.lit(""))), " +", SIL)
-    return F.filter(F.split(F.concat(F.lit(SIL), clean, F.lit(SIL)), ""), lambda c: c != "")
+    return F.filter(F.split(F.concat(F.lit(SIL), F.array_join(words, SIL), F.lit(SIL)), ""), lambda c: c != "")
+
+
+def ngrams(sequences: DataFrame, order: int, words: str = "words") -> DataFrame:
+    """(ctx, sym, n): counts of every run of ``order`` symbols of the letters of ``words``; ``ctx`` joins all but the last.
+
+    The runs that begin at a word (or at the silence before it) depend on the word and on the ``order - 1`` symbols
+    after it only. Those pieces are counted first, and each distinct one is cut once. The last silence is a word without letters.
+    """
+    w = F.concat(words, F.array(F.lit("")))
 
+    def piece(x: Column, i: Column) -> Column:
+        ahead = F.array_join(F.slice(w, i + 2, order - 1), SIL)
+        return F.struct(F.concat(F.lit(SIL), x).alias("own"), F.left(F.concat(F.when(i + 1 < F.size(w), F.lit(SIL)).otherwise(F.lit("")), ahead), F.lit(order - 1)).alias("ahead"))
 
-def ngrams(sequences: DataFrame, order: int, seq: str = "seq") -> DataFrame:
-    """(ctx, sym, n): counts of every run of ``order`` symbols; ``ctx`` joins all but the last."""
-    n = F.size(seq) - order + 1
-    runs = F.transform(F.sequence(F.lit(0), F.size(seq) - order), lambda i: F.struct(*[F.get(F.col(seq), i + k).alias(f"s{k}") for k in range(order)]))
-    flat = sequences.where(n >= 1).select(F.explode(runs).alias("g"))
-    ctx = F.concat(*[F.col(f"g.s{k}") for k in range(order - 1)]) if order > 1 else F.lit("")
-    return flat.select(ctx.alias("ctx"), F.col(f"g.s{order - 1}").alias("sym")).groupBy("ctx", "sym").agg(F.count("*").alias("n"))
+    pieces = sequences.select(F.explode(F.transform(w, piece)).alias("p")).groupBy(F.col("p.own").alias("own"), F.col("p.ahead").alias("ahead")).agg(F.count("*").alias("k"))
+    text, starts = F.concat("own", "ahead"), F.least(F.length("own"), F.length("own") + F.length("ahead") - order + 1)
+    runs = pieces.where(starts > 0).select("k", F.explode(F.transform(F.sequence(F.lit(1), starts), lambda i: F.substring(text, i, F.lit(order)))).alias("g"))
+    return runs.groupBy("g").agg(F.sum("k").alias("n")).select(F.left("g", F.lit(order - 1)).alias("ctx"), F.right("g", F.lit(1)).alias("sym"), "n")
 
 
 def mle(counts: DataFrame) -> DataFrame:

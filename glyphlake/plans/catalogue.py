@@ -39,21 +39,21 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).select("doc_id", "line_no", ngrams.letters(F.col("line")).alias("seq"))
+    return corpus(spark, sf_dir).select("doc_id", "line_no", ngrams.line_words(F.col("line")).alias("words"))
 
 
 r6 = lambda c: F.round(c, 6)
 
 LINES = "l AS (SELECT doc_id, (i - 1)::INTEGER AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
 WORDS = LINES + r""",
-w AS (SELECT doc_id, line_no, list_filter(list_transform(string_split_regex(lower(regexp_replace(line, '^\s+|\s+$', '', 'g')), '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '') AS raw FROM l)"""
+w AS (SELECT doc_id, line_no, list_filter(list_transform(string_split_regex(lower(nfc_normalize(regexp_replace(line, '^\s+|\s+$', '', 'g'))), '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '') AS raw FROM l)"""
 NORM = WORDS + r""",
-k AS (SELECT doc_id, line_no, list_transform(raw, lambda x: CASE WHEN len(list_filter(range(1, length(x) - 1), lambda i: x[i] = x[i+1] AND x[i+1] = x[i+2])) > 0 OR NOT regexp_full_match(x, '\p{Latin}+') THEN '<unk>' ELSE x END) AS ws FROM w),
+k AS (SELECT doc_id, line_no, list_transform(raw, lambda x: CASE WHEN len(list_filter(range(1, length(x) - 1), lambda i: x[i] = x[i+1] AND x[i+1] = x[i+2])) > 0 OR NOT regexp_full_match(x, '[ALLOWED]+') THEN '<unk>' ELSE x END) AS ws FROM w),
 n AS (SELECT doc_id, line_no, coalesce(array_to_string(ws, ' '), '') AS line, len(ws)::BIGINT AS n_words,
   CASE WHEN len(ws) < 5 THEN 'short' WHEN len(list_filter(ws, lambda x: x = '<unk>')) / len(ws) >= 0.2 THEN 'oov'
        WHEN len(list_filter(range(1, len(ws) - 1), lambda i: (length(ws[i]) = 1 OR ws[i] = '<unk>') AND length(ws[i+1]) = 1 AND (length(ws[i+2]) = 1 OR ws[i+2] = '<unk>'))) > 0 THEN 'single_letters'
        WHEN len(list_filter(range(1, len(ws) - 2), lambda i: ws[i] <> '<unk>' AND ws[i] = ws[i+1] AND ws[i+1] = ws[i+2])) > 0 THEN 'repeats' END AS reason FROM k),
-c AS (SELECT doc_id, line_no, line, n_words FROM n WHERE reason IS NULL)"""
+c AS (SELECT doc_id, line_no, line, n_words FROM n WHERE reason IS NULL)""".replace("ALLOWED", T.script_class("latin"))
 SEQ = NORM + r""",
 q AS (SELECT doc_id, line_no, '_' || regexp_replace(trim(replace(line, '<unk>', '')), ' +', '_', 'g') || '_' AS s FROM c)"""
 
@@ -84,7 +84,7 @@ def reject_reasons(spark, d):
 
 @query(f"WITH {WORDS} SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(raw) AS word FROM w) WHERE len(list_filter(range(1, length(word) - 1), lambda i: word[i] = word[i+1] AND word[i+1] = word[i+2])) > 0 GROUP BY word")
 def triple_letter_words(spark, d):
-    words = doc_rows(spark, d).select(F.explode(T.words(F.lower("line"))).alias("word"))
+    words = doc_rows(spark, d).select(F.explode(T.words(T.canonical(F.col("line")))).alias("word"))
     return words.where(T.has_triple(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -235,7 +235,9 @@ def backoff_score(spark, d):
 def perplexity_by_lang(spark, d):
     seq = sequences(spark, d)
     by_lang = seq.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    pairs = by_lang.select("lang", F.explode(F.zip_with(F.slice("seq", F.lit(1), F.size("seq") - 1), F.slice("seq", F.lit(2), F.size("seq") - 1), lambda a, b: F.struct(a.alias("ctx"), b.alias("sym")))).alias("g")).groupBy("lang", "g.ctx", "g.sym").agg(F.count("*").alias("k"))
+    # Letters by distinct words of a language: a bigram's letters never lie in two words.
+    each = by_lang.select("lang", F.explode("words").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c")).withColumn("seq", ngrams.letters(F.array("w")))
+    pairs = each.select("lang", "c", F.explode(F.zip_with(F.slice("seq", F.lit(1), F.size("seq") - 1), F.slice("seq", F.lit(2), F.size("seq") - 1), lambda a, b: F.struct(a.alias("ctx"), b.alias("sym")))).alias("g")).groupBy("lang", "g.ctx", "g.sym").agg(F.sum("c").alias("k"))
     p = ngrams.mle(ngrams.ngrams(seq, 2)).select("ctx", "sym", "p")
     return pairs.join(p, ["ctx", "sym"]).groupBy("lang").agg(F.sum("k").alias("n"), F.round(F.exp(-F.sum(F.col("k") * F.ln("p")) / F.sum("k")), 4).alias("perplexity"))
 
@@ -361,17 +363,17 @@ def rescore_swap_lm(spark, d):
     return rows.withColumn("k", F.row_number().over(w)).where("k = 1").select("user_id", "slot", "event_type", "cost")
 
 
-@query(f"WITH {NORM} SELECT doc_id, line_no, round(levenshtein(line, replace(replace(line, 'e', 'a'), 'th', 't')) / length(line), 6) AS ler FROM c WHERE length(line) <= 200")
+@query(f"WITH {NORM} SELECT doc_id, line_no, round(levenshtein(line, replace(replace(line, 'e', 'a'), 'th', 't')) / length(line), 6) AS ler FROM c")
 def letter_error_rate(spark, d):
     other = F.replace(F.replace("line", F.lit("e"), F.lit("a")), F.lit("th"), F.lit("t"))
-    return corpus(spark, d).where(F.length("line") <= 200).select("doc_id", "line_no", r6(F.levenshtein("line", other) / F.length("line")).alias("ler"))
+    return corpus(spark, d).select("doc_id", "line_no", r6(F.levenshtein("line", other) / F.length("line")).alias("ler"))
 
 
-@query("SELECT vec_id, k::INTEGER AS chunk, round(list_sum(list_transform(embedding[k * 16 + 1 : k * 16 + 16], lambda x: x::DOUBLE)), 4) AS total FROM (SELECT vec_id, embedding, unnest(range(0, (len(embedding) + 15) // 16)) AS k FROM embeddings)")
+@query("SELECT vec_id, k::INTEGER AS chunk, round(list_sum(list_transform(embedding[k * 16 + 1 : k * 16 + 16], lambda x: x::DOUBLE)), 4) + 0.0::DOUBLE AS total FROM (SELECT vec_id, embedding, unnest(range(0, (len(embedding) + 15) // 16)) AS k FROM embeddings)")
 def segment_chunks(spark, d):
     e = table(spark, d, "embeddings")
     chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 16).cast("int") - 1), lambda k: F.slice("embedding", k * 16 + 1, F.lit(16)))
-    return e.select("vec_id", F.posexplode(chunks).alias("chunk", "part")).select("vec_id", "chunk", F.round(F.aggregate("part", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+    return e.select("vec_id", F.posexplode(chunks).alias("chunk", "part")).select("vec_id", "chunk", (F.round(F.aggregate("part", F.lit(0.0), lambda a, x: a + x.cast("double")), 4) + F.lit(0.0)).alias("total"))
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(DISTINCT doc_id) FROM labels) AS n_labelled, (SELECT count(DISTINCT doc_id) FROM labels) >= (SELECT count(*) - count(*) // 20 FROM documents) AS ok")
@@ -410,8 +412,8 @@ def _training(spark, obs: DataFrame) -> DataFrame:
 
 
 def _letter_lm(rows: DataFrame, order: int = 2) -> cipher.LetterModel:
-    seq = rows.select(F.filter(F.split(F.concat(F.lit(" "), "plain", F.lit(" ")), ""), lambda c: c != "").alias("seq"))
-    num = lambda c: 1 if c == " " else ord(c) - 95
+    seq = rows.select(F.split("plain", " ").alias("words"))
+    num = lambda c: 1 if c == ngrams.SIL else ord(c) - 95
     got = ngrams.mle(ngrams.ngrams(seq, order)).collect()  # at most alphabet ** order rows
     probs = {(tuple(map(num, r["ctx"])), num(r["sym"])): r["p"] for r in got}
     for k in range(1, order):  # a path comes to the long contexts through the shorter ones
