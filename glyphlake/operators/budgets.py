@@ -12,27 +12,39 @@ def grouped_prefix(df: DataFrame, group: list[str], order: list[Column], measure
     return df.withColumn("_before", F.coalesce(F.sum(measure).over(w), F.lit(0))).where(F.col("_before") < budget).drop("_before")
 
 
-def ordered_prefix(df: DataFrame, key: str, rest: list[str], measure: str, budget: float, step: int = 1024) -> DataFrame:
-    """One budget over all rows in the order (key, rest), without a window over one partition.
+def first_keys(df: DataFrame, key: str, measure: str, budget: float) -> DataFrame:
+    """The rows below a bound of the integer ``key`` whose measures fill the budget; all rows if they don't.
 
-    Sums for ranges of ``step`` keys come first (a small table); a range's rows need only the sum before it.
+    The bound doubles until it does, so a small budget on a large table reads a small part of it (the filter
+    reaches the scan), and never more than about three times what is needed.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / step))
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return df
+    width = 1024
+    while low + width <= high:
+        some = df.where(F.col(key) < low + width)
+        if (some.agg(F.sum(measure)).first()[0] or 0) >= budget:
+            return some
+        width *= 4
+    return df
+
+
+def ordered_prefix(df: DataFrame, order: list[str], measure: str, budget: float) -> DataFrame:
+    """One budget over all rows in the order of the columns ``order``, of any types, without a window over one partition.
+
+    Rows are dealt by ranges of the whole order, so a value that many rows share is split too. Sums per range (one row
+    for each partition) give the sum before it, and only ranges that begin within the budget are ordered inside.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()  # read twice: for the sums and for the rows
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("_range").agg(F.sum(measure).alias("_sum"))
-    blocks = sums.withColumn("_block", F.floor(F.col("_range") / 4096))
-    per_block = blocks.groupBy("_block").agg(F.sum("_sum").alias("_block_sum"))
-    before_block = per_block.withColumn("_b", F.coalesce(F.sum("_block_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_block_sum")
-    w = Window.partitionBy("_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.join(before_block, "_block").withColumn("_start", F.col("_b") + F.coalesce(F.sum("_sum").over(w), F.lit(0))).where(F.col("_start") < budget).select("_range", "_start")
-    inside = Window.partitionBy("_range").orderBy(key, *rest).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before(Window.partitionBy(F.lit(0)).orderBy("_range"))), F.lit(0))).where(F.col("_start") < budget).select("_range", "_start")
+    inside = before(Window.partitionBy("_range").orderBy(*order))
     rows = ranged.join(starts, "_range").withColumn("_before", F.col("_start") + F.coalesce(F.sum(measure).over(inside), F.lit(0)))
     return rows.where(F.col("_before") < budget).select(*df.columns)
 
 
 def shortest_first(df: DataFrame, id_col: str, measure: str, budget: float) -> DataFrame:
-    """The shortest rows whose measures fill the budget; ties by id. Sums per measure value come first."""
-    per_value = df.groupBy(measure).agg((F.sum(measure)).alias("_sum"))
-    starts = per_value.withColumn("_start", F.coalesce(F.sum("_sum").over(Window.orderBy(measure).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_start") < budget).select(measure, "_start")
-    w = Window.partitionBy(measure).orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.join(starts, measure).withColumn("_before", F.col("_start") + F.coalesce(F.sum(measure).over(w), F.lit(0)))
-    return rows.where(F.col("_before") < budget).select(*df.columns)
+    """The shortest rows whose measures fill the budget; ties by id."""
+    return ordered_prefix(df, [measure, id_col], measure, budget)

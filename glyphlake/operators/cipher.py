@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake.operators.models import alignment
@@ -477,3 +477,24 @@ def decode(obs: DataFrame, params: Parameters, lm: LetterModel, power: float = 1
 
     kind = dict(obs.dtypes)["utt_id"]
     return obs.select("utt_id", "syms").mapInPandas(run, f"utt_id {kind}, tokens array<int>, cost double")
+
+
+def context_free(seen: DataFrame, target: DataFrame, start: DataFrame, steps: int) -> tuple[DataFrame, DataFrame]:
+    """Expectation-maximisation without context: (restart, src, tgt, p) after ``steps``, and the log (restart, iter, cost) before each.
+
+    ``seen`` (src, n) counts the observed symbols, ``target`` (tgt, q) has the letters' probabilities, ``start`` (restart, src, tgt, p) the
+    lexical models. Counting the observations first leaves tables bounded by the alphabets; they come to the driver once, and steps are joins and windows over them.
+    """
+    spark = start.sparkSession
+    small = lambda df: spark.createDataFrame(df.toPandas(), df.schema)
+    pairs = small(start.join(seen, "src").join(target, "tgt").select("restart", "src", "tgt", "n", "q", "p"))
+    by = lambda *c: Window.partitionBy("restart", *c)
+    log = None
+    for k in range(steps):
+        joint = pairs.withColumn("w", F.col("q") * F.col("p")).withColumn("z", F.sum("w").over(by("src")))
+        cost = joint.select("restart", "src", "n", "z").groupBy("restart", "src").agg(F.first("n").alias("n"), F.max("z").alias("z")).groupBy("restart").agg((-F.sum(F.col("n") * F.ln("z"))).alias("cost"))
+        row = cost.select("restart", F.lit(k).alias("iter"), "cost")
+        log = row if log is None else log.unionByName(row)
+        share = F.col("n") * F.col("w") / F.col("z")
+        pairs = joint.withColumn("c", share).withColumn("p", F.col("c") / F.sum("c").over(by("tgt"))).select("restart", "src", "tgt", "n", "q", "p")
+    return pairs.select("restart", "src", "tgt", "p"), log

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,8 +52,7 @@ def smooth(lex: DataFrame, n_src: int, n_tgt: int, alpha: float = 0.9) -> DataFr
     return every.join(lex.select("src", "tgt", "p"), ["src", "tgt"], "left").select("src", "tgt", (F.lit((1 - alpha) / (n_src - 1)) + alpha * F.coalesce("p", F.lit(0.0))).alias("p"))
 
 
-def logsumexp(cost: Column) -> Column:
-    """-ln of the sum of exp(-cost), as an aggregate that can't underflow: the smallest cost is taken out."""
-    costs = F.collect_list(cost)
-    low = F.array_min(costs)
-    return low - F.ln(F.aggregate(costs, F.lit(0.0), lambda a, c: a + F.exp(low - c)))
+def logsumexp(rows: DataFrame, key: list[str], cost: str) -> DataFrame:
+    """(key, total): -ln of the sum of exp(-cost) of each key. The smallest cost is taken out first, so nothing underflows; both passes are plain aggregates."""
+    low = rows.groupBy(*key).agg(F.min(cost).alias("_low"))
+    return rows.join(low, key).groupBy(*key).agg((F.min("_low") - F.ln(F.sum(F.exp(F.col("_low") - F.col(cost))))).alias("total"))

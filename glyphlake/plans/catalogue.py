@@ -3,33 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions import text as T
 from glyphlake.operators import bpe, budgets, cipher, models, ngrams
+from glyphlake.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "bigram_mle"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def doc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.lines(table(spark, sf_dir, "documents"))
 
@@ -42,6 +26,11 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", "line_no", ngrams.line_words(F.col("line")).alias("words"))
 
 
+def counted(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    """N-gram counts that a model reads several times; the table is small next to the corpus, and kept."""
+    return ngrams.ngrams(sequences(spark, sf_dir), order).persist()
+
+
 r6 = lambda c: F.round(c, 6)
 
 LINES = "l AS (SELECT doc_id, (i - 1)::INTEGER AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
@@ -95,13 +84,14 @@ def alphabet(spark, d):
 
 @query(f"WITH {NORM} SELECT doc_id, line_no, n_words FROM c QUALIFY coalesce(sum(n_words) OVER (ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 50000")
 def word_budget_prefix(spark, d):
-    return budgets.ordered_prefix(corpus(spark, d).select("doc_id", "line_no", "n_words"), "doc_id", ["line_no"], "n_words", 50_000)
+    rows = corpus(spark, d).select("doc_id", "line_no", "n_words")
+    return budgets.ordered_prefix(budgets.first_keys(rows, "doc_id", "n_words", 50_000), ["doc_id", "line_no"], "n_words", 50_000)
 
 
 @query(f"WITH {NORM}, m AS (SELECT doc_id, line_no, length(replace(replace(line, '<unk>', ''), ' ', ''))::BIGINT AS n_letters FROM c) SELECT * FROM m QUALIFY coalesce(sum(n_letters) OVER (ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1000000")
 def char_budget_prefix(spark, d):
     letters = corpus(spark, d).select("doc_id", "line_no", F.length(F.replace(F.replace("line", F.lit(T.UNK), F.lit("")), F.lit(" "), F.lit(""))).cast("long").alias("n_letters"))
-    return budgets.ordered_prefix(letters, "doc_id", ["line_no"], "n_letters", 1_000_000)
+    return budgets.ordered_prefix(budgets.first_keys(letters, "doc_id", "n_letters", 1_000_000), ["doc_id", "line_no"], "n_letters", 1_000_000)
 
 
 @query("SELECT doc_id, n_chars FROM documents SEMI JOIN labels USING (doc_id) QUALIFY coalesce(sum(n_chars) OVER (ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60000")
@@ -204,7 +194,7 @@ lo AS (SELECT sym, count(*) / (SELECT count(*) FROM b) AS low FROM b GROUP BY sy
 x AS (SELECT ctx, sym, n, CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS d FROM b, y)
 SELECT ctx, sym, round(greatest(n - d, 0) / sum(n) OVER (PARTITION BY ctx) + sum(d) OVER (PARTITION BY ctx) / sum(n) OVER (PARTITION BY ctx) * low, 6) AS p FROM x JOIN lo USING (sym)""")
 def kn_interpolated_bigram(spark, d):
-    return ngrams.kneser_ney(ngrams.ngrams(sequences(spark, d), 2)).select("ctx", "sym", r6("p").alias("p"))
+    return ngrams.kneser_ney(counted(spark, d, 2)).select("ctx", "sym", r6("p").alias("p"))
 
 
 @query(f"WITH {SEQ}, {_ngram_cte('g', 4)} SELECT ctx, sum(n)::BIGINT AS n FROM g GROUP BY ctx ORDER BY n DESC, ctx LIMIT 1000")
@@ -218,8 +208,10 @@ g AS (SELECT conv_id, turn, s[i : i + 1] AS ctx, s[i + 2] AS sym FROM (SELECT co
 sc AS (SELECT g.*, coalesce(p3.p, 0.4 * p2.p, 0.16 * p1.p, 1e-7)::DOUBLE AS p FROM g LEFT JOIN p3 ON p3.ctx = g.ctx AND p3.sym = g.sym LEFT JOIN p2 ON p2.ctx = g.ctx[2] AND p2.sym = g.sym LEFT JOIN p1 ON p1.sym = g.sym)"""
 
 
-def _chat_grams(spark, d, order: int = 3) -> DataFrame:
+def _chat_grams(spark, d, order: int = 3, change: tuple[str, str] = ("", "")) -> DataFrame:
     s = F.concat(F.lit("_"), F.regexp_replace(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " +", "_"), F.lit("_"))
+    if change[0]:
+        s = F.replace(s, F.lit(change[0]), F.lit(change[1]))
     rows = table(spark, d, "conversations").select("conv_id", "turn", s.alias("s")).where(F.length("s") >= order)
     runs = F.transform(F.sequence(F.lit(1), F.length("s") - order + 1), lambda i: F.struct(F.col("s").substr(i, F.lit(order - 1)).alias("ctx"), F.col("s").substr(i + order - 1, F.lit(1)).alias("sym")))
     return rows.select("conv_id", "turn", F.explode(runs).alias("g")).select("conv_id", "turn", "g.ctx", "g.sym")
@@ -332,7 +324,7 @@ def viterbi_loglik(spark, d):
     return _hmm(spark, d, True)
 
 
-SLOTS = "h AS (SELECT user_id, date_trunc('day', ts) AS slot, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL), p AS (SELECT user_id, slot, event_type, n / sum(n) OVER (PARTITION BY user_id, slot) AS post FROM h)"
+SLOTS = "h AS (SELECT user_id, date_trunc('day', ts) AS slot, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL), p AS (SELECT user_id, slot, event_type, n, n / sum(n) OVER (PARTITION BY user_id, slot) AS post FROM h)"
 
 
 def _slots(spark, d) -> DataFrame:

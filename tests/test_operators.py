@@ -24,7 +24,11 @@ def test_nfc_and_budgets(spark):
     dur = spark.createDataFrame([("a", 3), ("b", 1), ("c", 2)], "u string, d long")
     assert sorted(r["u"] for r in budgets.shortest_first(dur, "u", "d", 3).collect()) == ["b", "c"]
     seq = spark.createDataFrame([(k, 0, 10) for k in range(5000)], "k long, l int, n long")
-    assert budgets.ordered_prefix(seq, "k", ["l"], "n", 12_345).count() == 1235
+    assert budgets.ordered_prefix(seq, ["k", "l"], "n", 12_345).count() == 1235
+    assert budgets.ordered_prefix(budgets.first_keys(seq, "k", "n", 12_345), ["k", "l"], "n", 12_345).count() == 1235
+    # One measure for all rows, and ids that aren't numbers.
+    same = spark.createDataFrame([(f"u{k:04d}", 5) for k in range(3000)], "u string, d long")
+    assert sorted(r["u"] for r in budgets.shortest_first(same, "u", "d", 5_001).collect()) == [f"u{k:04d}" for k in range(1001)]
 
 
 def test_marks_and_diphthongs(spark):
