@@ -1,47 +1,62 @@
 """Operator 10: hierarchical Pitman-Yor language model.
 
-Tokens are white-space words (A-Z lowered) and one end for each text. The hierarchy is: a restaurant
-for each preceding word, whose parent is the word restaurant, whose parent is uniform. Seating
-is sampled by Gibbs: in a sweep, each dish of a context leaves with all its customers and they sit down again
-one after another (for large counts in growing blocks, with binomial draws), given the tables of
-the other dishes; discounts and strengths follow from the tables. The predictive probabilities of the sweeps
-after burn-in are averaged.
-
-Two rounds of shuffles gather the corpus, in blocks of packed numbers, one row for each block and partition:
-
-* words: counts of every word, from training documents; each document gets back the sum of log10(c + 1).
-* contexts: (context, word) pairs with their documents. A context's customers meet in one partition,
-  which seats them and returns each document's sum of log probabilities.
-
-Frequent contexts are salted: a context's pairs are dealt by context and word, so that no partition gets all of one
-context; its size, which all of its shares need, comes from the word round by a table of fixed size.
-Words are 64-bit hashes in the word round; words and contexts are 32-bit hashes in the context round. The
-parent's table is a hashed table of fixed size (``CLASSES`` entries), brought to the driver and broadcast.
-
-Null and empty texts hold the end only. Rows with the same id are scored together as one document and
-each gets that score. A null id is trained on and gets no score but its own row's, under the null id.
+Tokens are white-space words (A-Z lowered) and one end for each text. The hierarchy: a restaurant for each
+preceding word, whose parent is the word restaurant, whose parent is uniform over the known words and one unknown.
+The tables of the contexts are the customers of the word restaurant.
+
+Seating is sampled by Gibbs. A sweep reseats every context's dishes, given the word restaurant and the context's tables
+of the sweep before, then the word restaurant's dishes, given the tables that the contexts now have. A dish leaves with all its
+customers and they sit down again one after another (beyond ``SINGLY`` in growing blocks, with binomial draws). One
+discount and one strength hold for all contexts: the discount is drawn around its estimate from dishes with one and two
+customers, the strength from its likelihood over a grid. The predictive probabilities of the sweeps after
+burn-in are averaged. Draws are hashes of the dish and the sweep, and sums are integers, so partitions change nothing.
+
+The corpus is gathered in blocks of packed numbers, one row for each block and partition; words and contexts are 64-bit hashes:
+
+* words: counts from training documents, summed in a block first, so a frequent word is a number and not a row for each document.
+* pairs: (context, word) with their documents, by context. A context with more than its share of tokens is dealt by
+  its words too, over as many partitions as it has shares; so is a pair with more than its share, by blocks. The broadcasts that say so
+  hold at most 8 contexts and 8 pairs for each partition; one of the most frequent words (at most ``CODES``) only shortens what is sent.
+* sweeps: a context's partition tells each word's partition the tables and hears of the word's probability.
+* home: sums for documents, in blocks.
+
+Null and empty texts hold the end only; very long texts are taken whole; an empty table gives an empty result; without training documents
+every word is unknown. Rows with the same id are one document: they have its numbers, tokens included; so are rows
+without an id, which are trained on. Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import SpanHash, documents, materialise, mix64
+from glyphlake.llm.common import SpanHash, discard, documents, materialise, mix64
 
-#: Entries of the hashed parent table.
-CLASSES = 1 << 19
-SWEEPS, BURN_IN = 6, 2
+SWEEPS, BURN_IN = 4, 2
 DISCOUNT, STRENGTH = 0.75, 5.0
-BLOCK = 3_000_000
+#: Strengths that are weighed by their likelihood.
+GRID = 0.25 * 2.0 ** np.arange(16)
+#: Customers of a dish that sit down one by one.
+SINGLY = 32
+#: Characters of text that a worker looks at together, and frequent words with a short code.
+BLOCK, CODES = 8_000_000, 65_535
 FOLDS, HELD = 7, 2
-#: Separates words in the packed buffer; the end token is the byte 0 alone, which no word is mistaken for.
+#: Fixed point of summed logarithms.
+POINT = float(1 << 36)
 _END = np.uint64(0x5851F42D4C957F2D)
+_NULL = -(1 << 63)
+_ROW = "part int, kind int, src int, blob binary"
+WORDS, PAIRS, MODEL, ENTRIES, SEATS, TELL, REPLY, HEAVY, STATS, HOME = range(10)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id) -> bool:
@@ -58,90 +73,173 @@ def token_hashes(text: str | None) -> np.ndarray:
     return np.append(SpanHash(data)(begins, ends), _END)
 
 
-class Seating:
-    """Sampled tables of contexts. Dishes are rows (context, customers, parent probability), sorted by context.
-
-    ``total`` are the context's customers; dishes may be a share of a context's, then ``scale`` (customers of the whole
-    context over those here) carries the tables seen here over to the whole.
-    """
-
-    def __init__(self, context: np.ndarray, customers: np.ndarray, parent: np.ndarray, total: np.ndarray | None = None, seed: int = 1, discount: float = DISCOUNT, strength: float = STRENGTH):
-        self.context, self.c, self.parent = context, customers.astype(np.int64), parent
-        self.n = int(context.max()) + 1 if len(context) else 0
-        here = np.bincount(context, self.c, self.n)
-        self.total = here if total is None else np.maximum(total, here)
-        self.scale = self.total / np.maximum(here, 1)
-        self.d, self.s = discount, strength
-        self.rng = np.random.default_rng(seed)
-        self.t = np.minimum(self.c, 1)
-        self.tables = np.bincount(context, self.t, self.n) * self.scale
-
-    def sweep(self) -> None:
-        """Every dish leaves and sits down again, given the other dishes' tables."""
-        many = np.flatnonzero(self.c > 1)
-        if not len(many):
-            self._discount()
-            return
-        c, ctx, p0 = self.c[many], self.context[many], self.parent[many]
-        others = np.maximum(self.tables[ctx] - self.t[many], 0)
-        t, seated, live = np.ones(len(many), np.int64), 1, np.arange(len(many))
-        while len(live):
-            step = max(1, seated // 8)
-            sit = np.minimum(step, c[live] - seated)
-            new = (self.s + self.d * (others[live] + t[live])) * p0[live]
-            old = np.maximum(seated - self.d * t[live], 1e-9)
-            t[live] += self.rng.binomial(sit, new / (new + old))
-            seated += step
-            live = live[c[live] > seated]
-        self.t[many] = t
-        self.tables = np.bincount(self.context, self.t, self.n) * self.scale
-        self._discount()
-
-    def _discount(self) -> None:
-        """A draw of the discount around its estimate from dishes with one and two customers."""
-        one, two = float((self.c == 1).sum()), float((self.c == 2).sum())
-        a = 50 * (one + 1) / (one + 2 * two + 2)
-        self.d = float(min(0.95, max(0.05, self.rng.beta(a, max(1.0, 50 - a)))))
-
-    def predict(self, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Probability of a dish in a context (-1: an unknown one)."""
-        known = context >= 0
-        tot, tab = np.where(known, self.total[context], 0), np.where(known, self.tables[context], 0)
-        return (np.maximum(customers - self.d * tables, 0) + (self.s + self.d * tab) * parent) / (self.s + tot)
-
-
-def seat_and_score(context: np.ndarray, word: np.ndarray, count: np.ndarray, train: np.ndarray, parent: np.ndarray, totals, seed: int) -> np.ndarray:
-    """Averaged log10 probability of each (context, word) row, learnt from the rows in ``train``.
-
-    ``parent`` is the rows' parent probability; ``totals(contexts)`` gives the customers of whole contexts.
-    """
-    order = np.lexsort((word, context))
-    cx, w = context[order], word[order]
-    new_pair = np.append(True, (cx[1:] != cx[:-1]) | (w[1:] != w[:-1]))
-    head = np.flatnonzero(new_pair)
-    pair = np.cumsum(new_pair) - 1
-    c = np.add.reduceat(np.where(train[order], count[order], 0), head)
-    of_pair = cx[head]
-    new_ctx = np.append(True, of_pair[1:] != of_pair[:-1])
-    number = np.cumsum(new_ctx) - 1
-    p0 = parent[order][head]
-    seats = Seating(number, c, p0, totals(of_pair[new_ctx]), seed)
-    mean = np.zeros(len(head))
-    for k in range(SWEEPS):
-        seats.sweep()
-        if k >= BURN_IN:
-            mean += seats.predict(number, c, seats.t, p0) / (SWEEPS - BURN_IN)
-    out = np.empty(len(order))
-    out[order] = np.log10(mean)[pair]
+# --- packed numbers ---------------------------------------------------------
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The smallest unsigned type that holds the numbers."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    parts = [struct.pack("<B", len(arrays))]
+    for a in arrays:
+        parts += [a.dtype.str[1:].encode(), struct.pack("<Q", len(a)), np.ascontiguousarray(a).tobytes()]
+    return zstandard.compress(b"".join(parts), 1)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(blob), 1, []
+    for _ in range(raw[0]):
+        kind = np.dtype("<" + raw[at : at + 2].decode())
+        (n,) = struct.unpack_from("<Q", raw, at + 2)
+        out.append(np.frombuffer(raw, kind, n, at + 10))
+        at += 10 + n * kind.itemsize
     return out
 
 
+def _cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    if len(sorted_keys):
+        head = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
+        for a, b in zip(head, np.append(head[1:], len(sorted_keys))):
+            yield int(sorted_keys[a]), int(a), int(b)
+
+
+def _heads(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of keys begins."""
+    new = reduce(np.logical_or, [k[1:] != k[:-1] for k in sorted_keys])
+    return np.flatnonzero(np.append(True, new)) if len(sorted_keys[0]) else np.zeros(0, np.int64)
+
+
+def _sums(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Exact sums of runs of integers."""
+    return np.add.reduceat(values, heads) if len(heads) else np.zeros(0, np.int64)
+
+
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["part", "kind", "src", "blob"])
+
+
+def _met(rows: DataFrame, work: Callable[[int, dict[int, list]], Iterator[tuple]]) -> DataFrame:
+    """``work(part, {kind: [(src, arrays)]})`` for each part, whose rows meet in one partition; arrays are unpacked one part at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list] = defaultdict(list)
+        for b in batches:
+            for part, kind, src, blob in zip(*(b.column(k).to_pylist() for k in range(4))):
+                got[part].append((kind, src, blob))
+        while got:
+            part, mine = got.popitem()
+            by: dict[int, list] = defaultdict(list)
+            for kind, src, blob in sorted(mine, key=lambda x: x[:2]):
+                by[kind].append((src, _unpack(blob)))
+            del mine
+            yield _rows(list(work(part, by)))
+
+    return rows.repartition("part").mapInArrow(run, _ROW)
+
+
+def _of(table: DataFrame, *kinds: int) -> DataFrame:
+    return table.where(F.col("kind").isin(*kinds)).select("part", "kind", "src", "blob")
+
+
+def _numbers(table: DataFrame, kind: int = STATS) -> np.ndarray:
+    """Sum of the integer vectors that a job's partitions leave, one row for each part."""
+    total: np.ndarray | int = 0
+    for r in _of(table, kind).toLocalIterator():
+        total = total + _unpack(r["blob"])[0]
+    return total
+
+
+# --- draws -------------------------------------------------------------------
+
+def uniform(key: np.ndarray, number: int) -> np.ndarray:
+    """A number in (0, 1) for each key and draw, the same wherever it is made."""
+    mixed = mix64(key ^ mix64(np.array([number], np.uint64) * _ODD + np.uint64(1)))
+    return ((mixed >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def binomial(key: np.ndarray, number: int, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Successes in ``n`` trials: by inversion, or from the normal distribution where thirty or more are expected."""
+    u, mean = uniform(key, number), n * p
+    out = np.zeros(len(n), np.int64)
+    many = mean >= 30
+    if many.any():
+        z = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * np.pi * uniform(key[many], number + (1 << 20)))
+        out[many] = np.clip(np.rint(mean[many] + z * np.sqrt(mean[many] * (1 - p[many]))), 0, n[many])
+    live = np.flatnonzero(~many)
+    mass = np.exp(n[live] * np.log1p(-np.minimum(p[live], 1 - 1e-12)))
+    sum_, k = mass.copy(), 0
+    while len(live):
+        more = (u[live] > sum_) & (k < n[live])
+        live, mass, sum_ = live[more], mass[more], sum_[more]
+        mass = mass * (n[live] - k) / (k + 1) * p[live] / np.maximum(1 - p[live], 1e-12)
+        sum_ = sum_ + mass
+        k += 1
+        out[live] = k
+    return out
+
+
+def reseat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, key: np.ndarray, sweep: int, discount: float, strength: float) -> np.ndarray:
+    """Tables of dishes whose customers sit down anew, given the tables of the context's other dishes and the parent's probability."""
+    t, seated, draw = np.minimum(customers, 1).astype(np.int64), 1, sweep << 10
+    live = np.flatnonzero(customers > 1)
+    while len(live):
+        step = 1 if seated < SINGLY else seated // 16
+        sit = np.minimum(step, customers[live] - seated)
+        new = (strength + discount * (others[live] + t[live])) * parent[live]
+        p = new / (new + seated - discount * t[live])
+        t[live] += (uniform(key[live], draw) < p) if step == 1 else binomial(key[live], draw, sit, p)
+        seated, draw = seated + step, draw + 1
+        live = live[customers[live] > seated]
+    return t
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, eight steps up, where it is good to all digits."""
+    low = np.log(x)
+    for k in range(1, 8):
+        low = low + np.log(x + k)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
+
+
+def strength_weights(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
+    """Log likelihood of each strength of the grid, summed over restaurants, in fixed point."""
+    on = customers > 1
+    both, times = np.unique(np.stack([customers[on], tables[on]]), axis=1, return_counts=True)
+    c, t = both.astype(float)
+    out = []
+    for s in GRID:
+        ll = (t - 1) * np.log(discount) + _lgamma(s / discount + t) - _lgamma(np.full(len(t), s / discount + 1)) - _lgamma(s + c) + _lgamma(np.full(len(c), s + 1.0))
+        out.append(int((np.rint(ll * (1 << 16)).astype(np.int64) * times).sum()))
+    return np.array(out, np.int64)
+
+
+class Level:
+    """Discount and strength of a level, drawn anew after each sweep from whole-corpus counts."""
+
+    def __init__(self, salt: int):
+        self.d, self.s, self.salt = DISCOUNT, STRENGTH, salt
+
+    def draw(self, sweep: int, ones: int, twos: int, weights: np.ndarray) -> None:
+        rng = np.random.default_rng([self.salt, sweep])
+        share = 50 * (ones + 1) / (ones + 2 * twos + 2)
+        self.d = float(min(0.95, max(0.05, rng.beta(share, max(1.0, 50 - share)))))
+        w = weights / float(1 << 16)
+        p = np.exp(w - w.max())
+        self.s = float(GRID[min(len(GRID) - 1, int(np.searchsorted(np.cumsum(p / p.sum()), rng.random())))])
+
+
+# --- gathering -----------------------------------------------------------------
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(documents, document number of each token, token hashes)."""
     docs, toks, size = [], [], 0
 
     def out():
-        return np.array([-(1 << 63) if d is None else d for d in docs], np.int64), np.repeat(np.arange(len(docs)), [len(t) for t in toks]), np.concatenate(toks)
+        return np.array([_NULL if d is None else d for d in docs], np.int64), np.repeat(np.arange(len(docs)), [len(t) for t in toks]), np.concatenate(toks)
 
     for b in batches:
         for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -155,255 +253,433 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield out()
 
 
-_NULL = -(1 << 63)
-
-
 def _is_held(docs: np.ndarray) -> np.ndarray:
     return np.array([d != _NULL and held_out(int(d)) for d in docs], bool)
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """The smallest unsigned type that holds the numbers."""
-    top = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
-
-
-def _sparse(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, how many (key, document) rows each has, the rows' documents and counts."""
-    order = np.lexsort((doc, keys))
-    k, d = keys[order], doc[order]
-    new = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
-    head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(k)))
-    k, d = k[head], d[head]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    return k[first], np.diff(np.append(first, len(k))), d, count
-
-
-def _homeward(ids: list[np.ndarray], sums: list[list[np.ndarray]], kinds: list[str], parts: int) -> list[list]:
-    """Columns (part, ids, sums...) that bring sums back to their documents' partitions, in blocks."""
-    if not ids:
-        return [[] for _ in range(2 + len(kinds))]
-    own, back = np.unique(np.concatenate(ids), return_inverse=True)
-    total = [np.bincount(back, np.concatenate(x), len(own)) for x in zip(*sums)]
-    dest = (mix64(own.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(dest, kind="stable")
-    own, dest, total = own[order], dest[order], [x[order] for x in total]
-    cuts = np.append(np.flatnonzero(np.append(True, dest[1:] != dest[:-1])), len(dest))
-    pieces = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
-    return [[int(dest[p.start]) for p in pieces], [own[p].tobytes() for p in pieces], *[[x[p].astype(k).tobytes() for p in pieces] for x, k in zip(total, kinds)]]
-
-
-def _summed(blocks: DataFrame, names: list[str], kinds: list[str]) -> DataFrame:
-    """doc_id and its sums, from the rows of ``_homeward``."""
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix64(keys) % np.uint64(parts)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sums = [], []
-        for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(1, 2 + len(names)))):
-                ids.append(np.frombuffer(row[0], np.int64))
-                sums.append([np.frombuffer(x, k) for x, k in zip(row[1:], kinds)])
-        if ids:
-            own, back = np.unique(np.concatenate(ids), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *[pa.array(np.bincount(back, np.concatenate(x), len(own))) for x in zip(*sums)]], ["doc_id", *names])
 
-    return blocks.select("part", "ids", *names).repartition("part").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+def _before(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Each token's context; a text's first word follows the end."""
+    out = np.append(_END, tokens[:-1])
+    out[_heads(doc)] = _END
+    return out
 
 
-_WIRE = "part int, docs binary, keys binary, rows binary, doc binary, count binary, kinds string"
+def word_counts(texts: DataFrame, parts: int) -> DataFrame:
+    """WORDS (word, training tokens) by word, and STATS (tokens, words)."""
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, doc, tokens in _blocks(batches):
+            k, n = np.unique(tokens[~_is_held(docs)[doc]], return_counts=True)
+            dest = _part(k, parts)
+            order = np.argsort(dest, kind="stable")
+            k, n = k[order], n[order]
+            yield _rows([(p, WORDS, 0, _pack(k[a:b], _narrow(n[a:b]))) for p, a, b in _cuts(dest[order])])
 
-def _wire(parts: int, dest_of, key_bytes):
-    """Rows that carry one block's (key, document, count) numbers to the partitions that ``dest_of(keys)`` names."""
+    def meet(part: int, by: dict[int, list]) -> Iterator[tuple]:
+        k, n = (np.concatenate([x[1][i] for x in by[WORDS]]) for i in (0, 1))
+        order = np.argsort(k, kind="stable")
+        k, heads = k[order], _heads(k[order])
+        n = _sums(n[order].astype(np.int64), heads)
+        yield part, WORDS, 0, _pack(k[heads], n)
+        yield part, STATS, 0, _pack(np.array([n.sum(), len(n)], np.int64))
 
-    def rows(docs: np.ndarray, keys: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
-        k, n, d, c = _sparse(keys, doc)
-        dest = dest_of(k, parts)
-        order = np.argsort(dest, kind="stable")
-        starts = np.cumsum(n) - n
-        k, n, dest, starts = k[order], n[order], dest[order], starts[order]
-        cuts = np.flatnonzero(np.append(True, dest[1:] != dest[:-1]))
-        for a, b in zip(cuts, np.append(cuts[1:], len(dest))):
-            idx = np.repeat(starts[a:b], n[a:b]) + np.arange(n[a:b].sum()) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
-            used, back = np.unique(d[idx], return_inverse=True)
-            r, dd, cc = _narrow(n[a:b]), _narrow(back), _narrow(c[idx])
-            yield int(dest[a]), docs[used].tobytes(), key_bytes(k[a:b]), r.tobytes(), dd.tobytes(), cc.tobytes(), f"{r.dtype.str},{dd.dtype.str},{cc.dtype.str}"
+    return _met(texts.mapInArrow(send, _ROW), meet)
 
-    return rows
 
+def _frequent(words: DataFrame, least: float) -> DataFrame:
+    """(word, n) rows of words with so many tokens; the hashes as signed numbers."""
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), *[pa.binary()] * 5, pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "docs", "keys", "rows", "doc", "count", "kinds"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(3).to_pylist():
+                k, n = _unpack(blob)
+                on = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array(k[on].view(np.int64)), pa.array(n[on])], ["word", "n"])
 
+    return _of(words, WORDS).mapInArrow(run, "word long, n long")
 
-def _unwire(batches: Iterator[pa.RecordBatch], key_type: str) -> dict[int, tuple[np.ndarray, ...]]:
-    """By part: document ids, and for each row key, document number and count."""
-    got: dict[int, list] = {}
-    for b in batches:
-        for part, docs, keys, rows, doc, count, kinds in zip(*(b.column(k).to_pylist() for k in range(7))):
-            r, d, c = (np.frombuffer(x, t) for x, t in zip((rows, doc, count), kinds.split(",")))
-            got.setdefault(part, []).append((np.frombuffer(docs, np.int64), np.frombuffer(keys, key_type), r, d, c))
-    return got
 
+def _frequent_pairs(texts: DataFrame, heavy: np.ndarray, least: float) -> dict[tuple[int, int], int]:
+    """Training tokens of the pairs that have more than ``least``; both words of such a pair have too, so only those are counted."""
+    if not len(heavy):
+        return {}
 
-def _by_part(batches: Iterator[pa.RecordBatch], key_type: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    got = _unwire(batches, key_type)
-    while got:
-        part, blocks = got.popitem()
-        docs = np.concatenate([x[0] for x in blocks])
-        base = np.cumsum([0, *[len(x[0]) for x in blocks[:-1]]])
-        keys = np.concatenate([np.repeat(x[1], x[2]) for x in blocks])
-        doc = np.concatenate([x[3].astype(np.int64) + b for x, b in zip(blocks, base)])
-        count = np.concatenate([x[4].astype(np.int64) for x in blocks])
-        yield part, docs, keys, doc, count
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, doc, tokens in _blocks(batches):
+            u = _before(tokens, doc)
+            on = np.isin(tokens, heavy) & np.isin(u, heavy) & ~_is_held(docs)[doc]
+            both, n = np.unique(np.stack([u[on], tokens[on]]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64)), pa.array(n.astype(np.int64))], ["u", "w", "n"])
+
+    sums = texts.mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    return {(r["u"] % (1 << 64), r["w"] % (1 << 64)): r["n"] for r in sums.collect()}  # at most 8 for each part
+
+
+class Shares:
+    """Which contexts and pairs have more than their share of tokens, over how many parts they are dealt, and the short codes of frequent words."""
+
+    def __init__(self, parts: int, tokens: int, heavy: dict[int, int], pairs: dict[tuple[int, int], int], codes: np.ndarray):
+        share = max(1.0, tokens / parts / 8)
+        split = lambda n: int(n / share) + 1
+        self.parts = parts
+        self.u = np.array(sorted(heavy), np.uint64)
+        self.total = np.array([heavy[int(x)] for x in self.u], np.int64)
+        self.salts = np.array([split(n) for n in self.total], np.uint64)
+        self.codes = np.sort(codes)
+        self.pair_total = {mixed: n for (a, b), n in pairs.items() for mixed in [int(_pair_key(np.array([a], np.uint64), np.array([b], np.uint64))[0])]}
+        self.pair = np.array(sorted(self.pair_total), np.uint64)
+        self.pair_salts = np.array([split(self.pair_total[int(x)]) for x in self.pair], np.uint64)
+
+    def find(self, keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(among, keys), max(0, len(among) - 1))
+        return at, among[at] == keys if len(among) else np.zeros(len(keys), bool)
+
+    def home(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The part that owns each pair."""
+        at, on = self.find(u, self.u)
+        salt = np.zeros(len(u), np.uint64)
+        salt[on] = mix64(w[on]) % self.salts[at[on]]
+        return _part(u ^ (salt * _ODD), self.parts)
+
+    def dealt(self, u: np.ndarray, w: np.ndarray, block: int) -> np.ndarray:
+        """The part that a block's documents of each pair go to."""
+        out = self.home(u, w)
+        at, on = self.find(_pair_key(u, w), self.pair)
+        if on.any():
+            salt = mix64(np.array([block % (1 << 64)], np.uint64))[0] % self.pair_salts[at[on]]
+            out[on] = np.where(salt == 0, out[on], _part(_pair_key(u[on], w[on]) ^ (salt * _ODD), self.parts))
+        return out
+
+
+def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(u * _ODD ^ mix64(w))
+
+
+def pair_counts(texts: DataFrame, shares: Shares) -> DataFrame:
+    """MODEL (contexts, words, pairs with training counts) and ENTRIES (documents of each pair) by context, with the first TELL and STATS."""
+    shared = texts.sparkSession.sparkContext.broadcast(shares)
 
-def _klass(word32: np.ndarray) -> np.ndarray:
-    return (word32 % np.uint32(CLASSES)).astype(np.int64)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for docs, doc, tokens in _blocks(batches):
+            u = _before(tokens, doc)
+            key = _pair_key(u, tokens)
+            order = np.argsort(key, kind="stable")  # documents stay in order
+            k, d = key[order], doc[order]
+            entry = _heads(k, d)
+            count = np.diff(np.append(entry, len(k)))
+            first = _heads(k[entry])
+            n = np.diff(np.append(first, len(entry)))
+            lead = order[entry[first]]
+            pu, pw = u[lead], tokens[lead]
+            dest = own.dealt(pu, pw, int(docs[0]))
+            order = np.lexsort((pw, pu, dest))
+            rows = []
+            for p, a, b in _cuts(dest[order]):
+                x = order[a:b]
+                m = n[x]
+                e = np.repeat(first[x] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                used, back = np.unique(d[entry[e]], return_inverse=True)
+                rows.append((p, PAIRS, 0, _pack(*own_runs(pu[x]), *_coded(pw[x], own.codes), _narrow(m), docs[used], _narrow(back), _narrow(count[e]))))
+            # A pair that is dealt by blocks is made known to the part that owns it.
+            x = np.flatnonzero(dest != (home := own.home(pu, pw)))
+            for p, a, b in _cuts(np.sort(home[x])):
+                y = x[home[x] == p]
+                y = y[np.lexsort((pw[y], pu[y]))]
+                none = np.zeros(0, np.uint8)
+                rows.append((p, PAIRS, 0, _pack(*own_runs(pu[y]), *_coded(pw[y], own.codes), np.zeros(len(y), np.uint8), np.zeros(0, np.int64), none, none)))
+            yield _rows(rows)
+
+    def meet(part: int, by: dict[int, list]) -> Iterator[tuple]:
+        own = shared.value
+        us, ws, ns, docs, ds, cs, base = [], [], [], [], [], [], 0
+        for _, (u, runs, code, raw, n, ids, d, c) in by.pop(PAIRS):
+            us.append(np.repeat(u, runs))
+            ws.append(_decoded(code, raw, own.codes))
+            ns.append(n.astype(np.int64))
+            docs.append(ids)
+            ds.append(d.astype(np.int64) + base)
+            cs.append(c.astype(np.int64))
+            base += len(ids)
+        u, w, n, doc, d, c = map(np.concatenate, (us, ws, ns, docs, ds, cs))
+        del us, ws, ns, docs, ds, cs
+        row = np.repeat(np.arange(len(u)), n)
+        order = np.lexsort((w, u))
+        u, w = u[order], w[order]
+        heads = _heads(u, w)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+        pair = number[row]
+        order = np.argsort(pair, kind="stable")
+        pair, d, c = pair[order], d[order], c[order]
+        u, w = u[heads], w[heads]
+        train = np.zeros(len(u), np.int64)
+        np.add.at(train, pair, np.where(_is_held(doc)[d], 0, c))
+        at, on = own.find(_pair_key(u, w), own.pair)
+        train[on] = [own.pair_total[int(x)] for x in own.pair[at[on]]]
+        mine = own.home(u, w) == part
+        words, place = np.unique(w, return_inverse=True)
+        first = _heads(u)
+        yield part, MODEL, 0, _pack(u[first], _narrow(np.diff(np.append(first, len(u)))), words, _narrow(place), _narrow(train), mine.astype(np.uint8))
+        yield part, ENTRIES, 0, _pack(doc, _narrow(np.bincount(pair, minlength=len(u))), _narrow(d), _narrow(c))
+        m = Model(part, own, u, place, words, train, mine)
+        yield from m.told(np.minimum(train, 1))
+
+    return _met(texts.mapInArrow(send, _ROW), meet)
+
+
+def own_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    head = _heads(x)
+    return x[head], _narrow(np.diff(np.append(head, len(x))))
+
+
+def _coded(words: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of frequent words; for others the number after the last, and their hash in a list of its own."""
+    if not len(codes):
+        return np.zeros(len(words), np.uint16), words
+    at = np.minimum(np.searchsorted(codes, words), len(codes) - 1)
+    at = np.where(codes[at] == words, at, len(codes))
+    return at.astype(np.uint16), words[at == len(codes)]
+
+
+def _decoded(code: np.ndarray, raw: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    out = np.append(codes, np.uint64(0))[code]
+    out[code == len(codes)] = raw
+    return out
 
 
-def _word32(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(32)).astype(np.uint32)
+class Model:
+    """One part's pairs, sorted by context and word: contexts, words (numbers into a sorted list), training tokens, and whether the part owns them."""
+
+    def __init__(self, part: int, shares: Shares, u: np.ndarray, place: np.ndarray, words: np.ndarray, train: np.ndarray, mine: np.ndarray):
+        self.part, self.shares, self.place, self.words, self.train, self.mine = part, shares, place, words, train, mine
+        self.u = u
+        first = _heads(u)
+        self.contexts, self.first = u[first], first
+        self.number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(u))))
+        self.key = _pair_key(u, words[place])
+        self.many = np.flatnonzero(train > 1)
+        at, self.heavy = shares.find(self.contexts, shares.u)
+        self.customers = _sums(np.where(mine, train, 0), first)
+        # Of a context that is dealt over several parts the whole is known.
+        self.customers[self.heavy] = shares.total[at[self.heavy]]
+        self.at = at
+
+    @classmethod
+    def read(cls, part: int, shares: Shares, packed: list[np.ndarray]) -> Model:
+        contexts, pairs, words, place, train, mine = packed
+        return cls(part, shares, np.repeat(contexts, pairs), place.astype(np.int64), words, train.astype(np.int64), mine.astype(bool))
+
+    def tables(self, t: np.ndarray, heavy_tables: np.ndarray) -> np.ndarray:
+        """Tables of each context."""
+        out = _sums(np.where(self.mine, t, 0), self.first)
+        out[self.heavy] = heavy_tables[self.at[self.heavy]]
+        return out
+
+    def told(self, t: np.ndarray) -> Iterator[tuple]:
+        """TELL (word, tables) for each part of words; HEAVY tables; STATS of dishes with one and two customers."""
+        sums = np.zeros(len(self.words), np.int64)
+        np.add.at(sums, self.place[self.mine], t[self.mine])
+        dest = _part(self.words, self.shares.parts)
+        order = np.argsort(dest, kind="stable")
+        for q, a, b in _cuts(dest[order]):
+            yield q, TELL, self.part, _pack(self.words[order[a:b]], _narrow(sums[order[a:b]]))
+        heavy = np.flatnonzero(self.heavy)
+        if len(heavy):
+            yield self.part, HEAVY, 0, _pack(self.at[heavy], _sums(np.where(self.mine, t, 0), self.first)[heavy])
+        c = self.train[self.mine]
+        yield self.part, STATS, 0, _pack(np.array([(c == 1).sum(), (c == 2).sum()], np.int64))
+
+    def heard(self, replies: list[tuple[int, list[np.ndarray]]]) -> np.ndarray:
+        """What the parts of words say of this part's words, in their order; one column for each number."""
+        dest = _part(self.words, self.shares.parts)
+        order = np.argsort(dest, kind="stable")
+        at = {q: order[a:b] for q, a, b in _cuts(dest[order])}
+        out = np.zeros((2, len(self.words)))
+        for q, (left, n) in replies:
+            out[0, at[q]], out[1, at[q]] = left, n
+        return out
+
+
+def _heavy_tables(table: DataFrame, shares: Shares) -> np.ndarray:
+    """Tables of the dealt contexts; each is on as many parts as it has shares."""
+    out = np.zeros(len(shares.u), np.int64)
+    for r in _of(table, HEAVY).toLocalIterator():
+        at, t = _unpack(r["blob"])
+        np.add.at(out, at, t)
+    return out
 
 
-def _pairs(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Context (high half) and word (low half); a text's first word follows the end."""
-    w = _word32(tokens)
-    before = np.append(_word32(np.array([_END]))[0], w[:-1])
-    before[np.append(True, doc[1:] != doc[:-1])] = _word32(np.array([_END]))[0]
-    return (before.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
+def _strengths(m: Model, tables: np.ndarray, discount: float) -> np.ndarray:
+    own = ~m.heavy
+    return strength_weights(m.customers[own], tables[own], discount)
+
+
+# --- sweeps ----------------------------------------------------------------------
+
+def word_sweep(words: DataFrame, told: DataFrame, level: Level, tables: int, known: int, sweep: int) -> DataFrame:
+    """REPLY (customers less the discount of their tables, training tokens) to each part for its words, and STATS (customers, tables, dishes with one and two)."""
+    d, s = level.d, level.s
+
+    def work(part: int, by: dict[int, list]) -> Iterator[tuple]:
+        own, count = by[WORDS][0][1] if by[WORDS] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        asked = [(src, x[0], x[1].astype(np.int64)) for src, x in by[TELL]]
+        every = np.unique(np.concatenate([own, *[k for _, k, _ in asked]]))
+        customers, n = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+        n[np.searchsorted(every, own)] = count
+        for _, k, t in asked:
+            customers[np.searchsorted(every, k)] += t
+        t = reseat(customers, np.full(len(every), max(0.0, tables - 1.0)), np.full(len(every), 1.0 / (known + 1)), every, (1 << 12) + sweep, d, s)
+        left = customers - d * t
+        for src, k, _ in asked:
+            at = np.searchsorted(every, k)
+            yield src, REPLY, part, _pack(left[at], _narrow(n[at]))
+        yield part, STATS, 0, _pack(np.array([customers.sum(), t.sum(), (customers == 1).sum(), (customers == 2).sum()], np.int64))
+
+    return _met(_of(words, WORDS).unionByName(_of(told, TELL)), work)
+
+
+class Word:
+    """What turns a reply into a word's probability."""
+
+    def __init__(self, level: Level, stats: np.ndarray, known: int):
+        customers, tables = (int(x) for x in stats[:2])
+        self.base = (level.s + level.d * tables) / (known + 1)
+        self.total = level.s + customers
+
+    def probability(self, left: np.ndarray) -> np.ndarray:
+        return (left + self.base) / self.total
+
+
+def context_sweep(model: DataFrame, seats: DataFrame | None, replies: DataFrame, shares, word: Word, level: Level, heavy: np.ndarray, sweep: int) -> DataFrame:
+    """SEATS (tables of pairs with several customers), and what ``Model.told`` tells of them."""
+    d, s = level.d, level.s
+
+    def work(part: int, by: dict[int, list]) -> Iterator[tuple]:
+        m = Model.read(part, shares.value, by[MODEL][0][1])
+        t = np.minimum(m.train, 1)
+        if by[SEATS]:
+            t[m.many] = by[SEATS][0][1][0]
+        parent = word.probability(m.heard(by[REPLY])[0])
+        x = m.many
+        others = np.maximum(m.tables(t, heavy)[m.number[x]] - t[x], 0)
+        t[x] = reseat(m.train[x], others, parent[m.place[x]], m.key[x], sweep, d, s)
+        yield part, SEATS, sweep, _pack(_narrow(t[x]))
+        for row in m.told(t):
+            # The strengths' likelihoods follow the counts of dishes; dealt contexts are added by the driver.
+            yield row if row[1] != STATS else (part, STATS, 0, _pack(np.concatenate([_unpack(row[3])[0], _strengths(m, m.tables(t, heavy), d)])))
+
+    rows = _of(model, MODEL).unionByName(_of(replies, REPLY))
+    return _met(rows if seats is None else rows.unionByName(_of(seats, SEATS)), work)
+
+
+class Sample:
+    """One sweep's numbers after burn-in."""
+
+    def __init__(self, sweep: int, level: Level, word: Word, heavy: np.ndarray):
+        self.sweep, self.d, self.s, self.word, self.heavy = sweep, level.d, level.s, word, heavy
+
+
+def document_sums(model: DataFrame, seats: list[DataFrame], replies: list[DataFrame], shares, samples: list[Sample]) -> DataFrame:
+    """HOME rows: documents with their sums of log10 probabilities, of log10(c + 1), of known tokens and of tokens."""
+
+    def work(part: int, by: dict[int, list]) -> Iterator[tuple]:
+        m = Model.read(part, shares.value, by[MODEL][0][1])
+        docs, n, d, c = by.pop(ENTRIES)[0][1]
+        mean = np.zeros(len(m.u))
+        parts = m.shares.parts
+        for k, x in enumerate(samples):
+            t = np.minimum(m.train, 1)
+            t[m.many] = next(a[0] for src, a in by[SEATS] if src == x.sweep)
+            left, count = m.heard([(src % parts, a) for src, a in by[REPLY] if src // parts == k])
+            total, tables, parent = m.customers[m.number], m.tables(t, x.heavy)[m.number], x.word.probability(left)[m.place]
+            own = (m.train - x.d * t + (x.s + x.d * tables) * parent) / (x.s + total)
+            mean += np.where(total > 0, own, parent) / len(samples)
+        logs = np.rint(np.log10(mean) * POINT).astype(np.int64)
+        base = np.rint(np.log10(count + 1) * POINT).astype(np.int64)[m.place]
+        pair, times, d = np.repeat(np.arange(len(n)), n), c.astype(np.int64), d.astype(np.int64)
+        ids, back = np.unique(docs, return_inverse=True)
+        order = np.argsort(back[d], kind="stable")
+        heads = _heads(back[d][order])
+        pair, times = pair[order], times[order]
+        sums = [_sums(times * x, heads) for x in (logs[pair], base[pair], (count > 0)[m.place[pair]].astype(np.int64), np.ones(len(pair), np.int64))]
+        own = ids[back[d][order][heads]]
+        dest = _part(own.view(np.uint64), parts)
+        order = np.argsort(dest, kind="stable")
+        for p, a, b in _cuts(dest[order]):
+            y = order[a:b]
+            yield p, HOME, part, _pack(own[y], sums[0][y], sums[1][y], _narrow(sums[2][y]), _narrow(sums[3][y]))
 
+    parts = shares.value.parts
+    rows = _of(model, MODEL, ENTRIES)
+    for k, (s, r) in enumerate(zip(seats, replies)):
+        rows = rows.unionByName(_of(s, SEATS)).unionByName(_of(r, REPLY).withColumn("src", F.col("src") + k * parts))
+    return _met(rows, work)
 
-def word_round(texts: DataFrame, parts: int) -> DataFrame:
-    """Blocks of documents' sums (of log10(c + 1), of known tokens) and of the table (class, tokens and distinct words)."""
-    wire = _wire(parts, lambda k, p: (_klass(_word32(k)) * p // CLASSES).astype(np.int64), lambda k: k.tobytes())
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, doc, tokens in _blocks(batches):
-            yield _batch(list(wire(docs, tokens, doc)))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sums, tables = [], [], []
-        for _, docs, keys, doc, count in _by_part(batches, "u8"):
-            held = _is_held(docs)
-            order = np.argsort(keys, kind="stable")
-            k, d, n = keys[order], doc[order], count[order]
-            head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            c = np.add.reduceat(np.where(held[d], 0, n), head)
-            of_row = np.repeat(c, np.diff(np.append(head, len(k))))
-            own, back = np.unique(docs, return_inverse=True)
-            ids.append(own)
-            sums.append([np.bincount(back[d], n * np.log10(of_row + 1), len(own)), np.bincount(back[d], n * (of_row > 0), len(own))])
-            on = c > 0
-            cls, back = np.unique(_klass(_word32(k[head[on]])), return_inverse=True)
-            tables.append(cls.astype("<i4").tobytes() + np.bincount(back, c[on], len(cls)).astype("<i8").tobytes() + np.bincount(back, minlength=len(cls)).astype("<i4").tobytes())
-        part, own, logs, known = _homeward(ids, sums, ["<f8", "<u4"], parts)
-        n, t = len(part), len(tables)
-        blobs = [pa.array(x + [None] * t, pa.binary()) for x in (own, logs, known)]
-        yield pa.RecordBatch.from_arrays([pa.array(part + [None] * t, pa.int32()), *blobs, pa.array([None] * n + tables, pa.binary())], ["part", "ids", "logs", "known", "table"])
-
-    sent = texts.mapInArrow(send, _WIRE)
-    return sent.repartition("part").mapInArrow(meet, "part int, ids binary, logs binary, known binary, table binary")
-
-
-class Parent:
-    """The word restaurant over hashed classes; within a class, its known words and one unknown share alike."""
-
-    def __init__(self, tokens: np.ndarray, words: np.ndarray, seed: int = 3):
-        self.tokens = tokens
-        some = np.flatnonzero(tokens)
-        seats = Seating(np.zeros(len(some), np.int64), tokens[some], np.full(len(some), 1 / CLASSES), seed=seed)
-        p = np.zeros(len(tokens))
-        for k in range(SWEEPS):
-            seats.sweep()
-            if k >= BURN_IN:
-                every, t = tokens, np.zeros(len(tokens))
-                t[some] = seats.t
-                total, tables = float(tokens.sum()), float(seats.t.sum())
-                p += (np.maximum(every - seats.d * t, 0) + (seats.s + seats.d * tables) / CLASSES) / (seats.s + total) / (SWEEPS - BURN_IN)
-        self.p = (p / (words + 1)).astype(np.float32)
-
-
-def context_round(texts: DataFrame, parts: int, p: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> DataFrame:
-    """doc_id and its sum of log10 probabilities."""
-    shared = texts.sparkSession.sparkContext.broadcast((p, np.minimum(tokens, (1 << 31) - 1).astype(np.int32)))
-    # A context class with more than its share of all tokens is dealt by its words too.
-    heavy = max(1.0, float(tokens.sum()) / parts / 8)
-
-    def deal(pair: np.ndarray, n: int) -> np.ndarray:
-        ctx = (pair >> np.uint64(32)).astype(np.uint32)
-        salt = np.where(shared.value[1][_klass(ctx)] > heavy, pair & np.uint64(0xFFFFFFFF), np.uint64(0))
-        return (mix64(ctx.astype(np.uint64) ^ (salt << np.uint64(32))) % np.uint64(n)).astype(np.int64)
-
-    def pack(k: np.ndarray) -> bytes:
-        # Contexts and words in two planes: sorted contexts compress.
-        return (k >> np.uint64(32)).astype("<u4").tobytes() + k.astype("<u4").tobytes()
-
-    wire = _wire(parts, deal, pack)
+def _at_home(sums: DataFrame) -> DataFrame:
+    """(k, logs, base, known, tokens) of each document."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, doc, toks in _blocks(batches):
-            yield _batch(list(wire(docs, _pairs(toks, doc), doc)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [_unpack(x) for b in batches for x in b.column(3).to_pylist()]
+        if got:
+            ids, *sums = (np.concatenate([x[k] for x in got]).astype(np.int64) for k in range(5))
+            order = np.argsort(ids, kind="stable")
+            heads = _heads(ids[order])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[order][heads]), *[pa.array(_sums(x[order], heads)) for x in sums]], ["k", "logs", "base", "known", "tokens"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sizes = shared.value
-        all_ids, all_sums = [], []
-        got: dict[int, list] = {}
-        for b in batches:
-            for part, docs, keys, rows, doc, count, kinds in zip(*(b.column(k).to_pylist() for k in range(7))):
-                r, d, c = (np.frombuffer(x, t) for x, t in zip((rows, doc, count), kinds.split(",")))
-                k = np.frombuffer(keys, "<u4").reshape(2, -1)
-                got.setdefault(part, []).append((np.frombuffer(docs, np.int64), k, r, d, c))
-        while got:
-            part, blocks = got.popitem()
-            docs = np.concatenate([x[0] for x in blocks])
-            base = np.cumsum([0, *[len(x[0]) for x in blocks[:-1]]])
-            ctx = np.concatenate([np.repeat(x[1][0], x[2]) for x in blocks])
-            word = np.concatenate([np.repeat(x[1][1], x[2]) for x in blocks])
-            doc = np.concatenate([x[3].astype(np.int64) + b for x, b in zip(blocks, base)])
-            count = np.concatenate([x[4].astype(np.int64) for x in blocks])
-            del blocks
-            train = ~_is_held(docs)[doc]
-
-            def totals(contexts: np.ndarray) -> np.ndarray:
-                # Only shares of heavy contexts need the table; the others are here whole.
-                n = sizes[_klass(contexts)]
-                return np.where(n > heavy, n, 0)
-
-            logs = seat_and_score(ctx, word, count, train, table[_klass(word)].astype(np.float64), totals, part)
-            ids, back = np.unique(docs, return_inverse=True)
-            all_ids.append(ids)
-            all_sums.append([np.bincount(back[doc], count * logs, len(ids))])
-        part, own, logs = _homeward(all_ids, all_sums, ["<f4"], parts)
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(own, pa.binary()), pa.array(logs, pa.binary())], ["part", "ids", "logs"])
-
-    home = texts.mapInArrow(send, _WIRE).repartition("part").mapInArrow(meet, "part int, ids binary, logs binary")
-    return _summed(home, ["logs"], ["<f4"])
+    return _of(sums, HOME).repartition("part").mapInArrow(run, "k long, logs long, base long, known long, tokens long")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    first = materialise(word_round(texts, parts))
-    tokens, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in first.where("table is not null").select("table").toLocalIterator():  # CLASSES entries in all
-        n = len(r["table"]) // 16
-        at = np.frombuffer(r["table"], "<i4", n)
-        tokens[at] += np.frombuffer(r["table"], "<i8", n, 4 * n)
-        words[at] += np.frombuffer(r["table"], "<i4", n, 12 * n)
-    n_all, v_all = int(tokens.sum()), int(words.sum())
-    sums = _summed(first.where("table is null"), ["logs", "known"], ["<f8", "<u4"]).withColumnRenamed("known", "n_known")
-    model = context_round(texts, parts, Parent(tokens, words).p, tokens, words).withColumnRenamed("logs", "score")
-    null = F.lit(_NULL)
-    # A regular expression counts the words without moving the texts.
-    rows = texts.select("doc_id", F.coalesce("doc_id", null).alias("k"), (F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long").alias("n_tokens"))
-    both = sums.join(model, "doc_id").withColumnRenamed("doc_id", "k")
-    per_token = float(np.log10(n_all + v_all + 1)) if n_all else 0.0
-    out = rows.join(both, "k")
+    words = materialise(word_counts(texts, parts))
+    tokens, known = (int(x) for x in np.broadcast_to(_numbers(words), 2))
+    # At most 8 words for each part have such a share; at most a million have the other, of which the most frequent get codes.
+    share = max(1.0, tokens / parts / 8)
+    heavy = {r["word"] % (1 << 64): r["n"] for r in _frequent(words, share).where(F.col("n") > share).collect()}
+    codes = np.array([r["word"] % (1 << 64) for r in _frequent(words, max(2, tokens >> 20)).orderBy(F.desc("n"), "word").limit(CODES).collect()], np.uint64)
+    own = Shares(parts, tokens, heavy, _frequent_pairs(texts, np.array(sorted(heavy), np.uint64), share), codes)
+    shares = spark.sparkContext.broadcast(own)
+    model = materialise(pair_counts(texts, own))
+    told, seats, tables = model, None, known
+    upper, lower = Level(1), Level(2)
+    ones = np.broadcast_to(_numbers(model), 2)
+    lower.draw(0, int(ones[0]), int(ones[1]), np.zeros(len(GRID)))
+    heavy_tables = _heavy_tables(model, own)
+    kept: list[tuple[DataFrame, DataFrame, Sample]] = []
+    for sweep in range(SWEEPS + 1):
+        replies = materialise(word_sweep(words, told, upper, tables, known, sweep))
+        stats = np.broadcast_to(_numbers(replies), 4)
+        word = Word(upper, stats, known)
+        tables = int(stats[1])
+        upper.draw(sweep, int(stats[2]), int(stats[3]), strength_weights(np.array([max(1, int(stats[0]))]), np.array([max(1, tables)]), upper.d))
+        if sweep > BURN_IN:
+            kept.append((told, replies, Sample(sweep, lower, word, heavy_tables)))
+        if sweep == SWEEPS:
+            break
+        before, old = told, seats
+        told = materialise(context_sweep(model, seats, replies, shares, word, lower, heavy_tables, sweep + 1))
+        heavy_tables, seats = _heavy_tables(told, own), told
+        found = np.broadcast_to(_numbers(told), 2 + len(GRID))
+        # Dealt contexts are added here, where their tables are whole.
+        at_draw = strength_weights(own.total, heavy_tables, lower.d) if len(own.u) else 0
+        lower.draw(sweep + 1, int(found[0]), int(found[1]), found[2:] + at_draw)
+        if sweep <= BURN_IN:
+            discard(replies, *([before] if old is not None else []))
+    sums = materialise(document_sums(model, [x[0] for x in kept], [x[1] for x in kept], shares, [x[2] for x in kept]))
+    discard(model, words)
+    per_token = float(np.log10(tokens + known + 1)) if tokens else 0.0
+    rows = texts.select("doc_id", F.coalesce("doc_id", F.lit(_NULL)).alias("k"))
+    out = rows.join(_at_home(sums), "k")
     held = F.coalesce(F.expr(f"crc32(cast(cast(doc_id as string) as binary)) % {FOLDS} = {HELD}"), F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), F.round(F.col("logs") - F.col("n_tokens") * F.lit(per_token), 6).alias("base_score"), F.round("score", 6).alias("score"))
+    return out.select("doc_id", held.alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), F.round(F.col("base") / POINT - F.col("tokens") * F.lit(per_token), 6).alias("base_score"), F.round(F.col("logs") / POINT, 6).alias("score"))
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

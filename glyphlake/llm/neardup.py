@@ -158,7 +158,8 @@ def _stars(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[tupl
 
 def _compared(placed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (u, v) within the groups (u, part) of ``placed`` (v, c: component or null, query); where there are queries, only theirs with other components."""
-    rows = placed.join(texts.select(F.col("doc_id").alias("v"), "text"), "v").select(*_STAR)
+    # The plan is the same at every size: the texts are dealt by id, however few are asked for.
+    rows = placed.hint("merge").join(texts.select(F.col("doc_id").alias("v"), "text"), "v").select(*_STAR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[int, int]] = []

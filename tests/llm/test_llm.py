@@ -200,6 +200,67 @@ def test_language_model(spark):
     assert len(held) and held.score.sum() > held.base_score.sum()
 
 
+def plain_hierarchy(rows):
+    """The model of ``rows`` with dictionaries, one dish at a time; log10 probabilities by id."""
+    lm = language_model
+    toks = {k: list(map(int, lm.token_hashes(t))) for k, t in rows}
+    pairs = {k: list(zip([int(lm._END), *ws[:-1]], ws)) for k, ws in toks.items()}
+    train = [k for k, _ in rows if not lm.held_out(k)]
+    c, words = Counter(p for k in train for p in pairs[k]), Counter(w for k in train for w in toks[k])
+    of_context, known = Counter(), len(words)
+    for (u, _), n in c.items():
+        of_context[u] += n
+    t, upper, lower, tables0 = dict.fromkeys(c, 1), lm.Level(1), lm.Level(2), known
+    ones, twos = (sum(n == k for n in c.values()) for k in (1, 2))
+    lower.draw(0, ones, twos, np.zeros(len(lm.GRID)))
+    one = lambda *x: [np.array([v]) for v in x]
+    key = lambda p: lm._pair_key(*one(np.uint64(p[0]), np.uint64(p[1])))
+    tables_of = lambda: Counter({u: 0 for u in of_context}) + Counter(u for (u, _), n in t.items() for _ in range(n))
+    samples = []
+    for sweep in range(lm.SWEEPS + 1):
+        customers = Counter()
+        for (_, w), n in t.items():
+            customers[w] += n
+        t0 = {w: int(lm.reseat(*one(n, max(0.0, tables0 - 1.0), 1 / (known + 1), np.uint64(w)), (1 << 12) + sweep, upper.d, upper.s)[0]) for w, n in customers.items()}
+        total, tables0, d0, s0 = sum(customers.values()), sum(t0.values()), upper.d, upper.s
+        p0 = lambda w, a=customers, b=t0, d=d0, s=s0, n=total, m=tables0: (a.get(w, 0) - d * b.get(w, 0) + (s + d * m) / (known + 1)) / (s + n)
+        upper.draw(sweep, *(sum(n == k for n in customers.values()) for k in (1, 2)), lm.strength_weights(np.array([total]), np.array([tables0]), upper.d))
+        if sweep > lm.BURN_IN:
+            samples.append((dict(t), tables_of(), p0, lower.d, lower.s))
+        if sweep < lm.SWEEPS:
+            tabs = tables_of()
+            t = {p: int(lm.reseat(*one(n, tabs[p[0]] - t[p], p0(p[1])), key(p), sweep + 1, lower.d, lower.s)[0]) for p, n in c.items()}
+            tabs = tables_of()
+            lower.draw(sweep + 1, ones, twos, lm.strength_weights(np.array([of_context[u] for u in of_context]), np.array([tabs[u] for u in of_context]), lower.d))
+
+    def probability(p):
+        out = []
+        for t, tabs, p0, d, s in samples:
+            n = of_context[p[0]]
+            out.append((c[p] - d * t.get(p, 0) + (s + d * tabs[p[0]]) * p0(p[1])) / (s + n) if n else p0(p[1]))
+        return sum(out) / len(out)
+
+    # A context's probabilities and those of all unknown words sum to one.
+    assert np.isclose(sum(probability((int(lm._END), w)) for w in words) + probability((int(lm._END), 12345)), 1)
+    return {k: sum(np.log10(probability(p)) for p in pairs[k]) for k, _ in rows}
+
+
+def test_language_model_by_plain_dictionaries(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choice(words[: rng.randrange(1, 40)]) for _ in range(rng.randrange(60)))) for k in range(60)]
+    want = plain_hierarchy(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 16):  # few tokens for each partition: contexts and pairs are dealt over several
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r["doc_id"]: r["score"] for r in language_model.score(frame.repartition(n + 1)).collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want), n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_toxicity_learns_misspellings():
     rng = random.Random(2)
     plain = [" ".join(rng.choice(["house", "tree", "river", "green", "walk"]) for _ in range(30)) for _ in range(80)]
