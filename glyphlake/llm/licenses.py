@@ -8,9 +8,11 @@ mandatory key phrases is in the file. The base labels come from phrases alone.
 
 A file without the word of any key phrase can get no label, so only files that have one are
 indexed; that filter loses nothing. Templates and postings are a fixed, small set; the IDF table
-has a row for each licence word at most. A null text has no words; repeated rows are scanned one by
-one. Everything happens inside a row, without a shuffle, but for the document counts (one row for
+has a row for each licence word at most. Everything happens inside a row, without a shuffle, but for the document counts (one row for
 each licence word and task).
+
+A null text has no words; very long texts are taken whole; repeated rows are scanned one by one; of words with equal IDF the
+smaller comes first; an empty table gives an empty result; columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,48 @@ from glyphlake.llm.common import documents, let
 
 #: Phrase to base label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: (label, short licence wording, key phrases of which one is mandatory).
+#: Notices and conditions of public licences in their own wording (case and punctuation don't count), with key phrases of which one is mandatory.
+LONG = [
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in
+the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so
+subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind""",
+     ["permission is hereby granted free of charge to any person obtaining a copy"]),
+    ("isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and
+this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness""",
+     ["permission to use copy modify and or distribute this software for any purpose with or without fee"]),
+    ("bsd-3-clause", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code
+must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written permission""",
+     ["may be used to endorse or promote products derived from this software"]),
+    ("apache-2.0-notice", """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at
+unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the
+specific language governing permissions and limitations under the license""",
+     ["unless required by applicable law or agreed to in writing software"]),
+    ("gpl-notice", """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either
+version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular
+purpose see the gnu general public license for more details""",
+     ["under the terms of the gnu general public license as published by the free software foundation"]),
+    ("lgpl-notice", """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation
+either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful""",
+     ["gnu lesser general public license"]),
+    ("agpl-notice", """this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation
+either version 3 of the license or at your option any later version""",
+     ["gnu affero general public license"]),
+    ("mpl-2.0-notice", """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at""",
+     ["if a copy of the mpl was not distributed with this file"]),
+    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code
+form or as a compiled binary for any purpose commercial or non commercial and by any means""",
+     ["free and unencumbered software released into the public domain"]),
+    ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions""",
+     ["permission is granted to anyone to use this software for any purpose including commercial applications"]),
+    ("bsl-1.0", """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use
+reproduce display distribute execute and transmit the software and to prepare derivative works of the software""",
+     ["boost software license", "obtaining a copy of the software and accompanying documentation covered by this license"]),
+    ("cc0-1.0", """to the extent possible under law the author has waived all copyright and related or neighboring rights to this work under the creative commons zero dedication""",
+     ["waived all copyright and related or neighboring rights"]),
+]
+#: (label, short licence wording, key phrases of which one is mandatory), then the long ones.
 TEMPLATES = [
     ("mit-notice", "released under the mit license permission is hereby granted free of charge to any person obtaining a copy of this software", ["mit license"]),
     ("apache-2.0", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", ["apache license version 2 0"]),
@@ -35,6 +78,7 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0", ["licensed under cc by nc"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted bsd license", ["bsd license", "redistribution and use in source and binary forms"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    *LONG,
 ]
 #: Words of a file that are looked up for each template, highest IDF first.
 RARE = 8
@@ -44,7 +88,7 @@ AGREE = 0.5
 WORD = r"0-9A-Za-z\x{80}-\x{10FFFF}"
 VOCABULARY = sorted({w for _, wording, keys in TEMPLATES for x in (wording, *keys) for w in x.split()})
 #: Every label needs a phrase that has one of these words.
-GATE = re.compile("|".join(["license", "licensed", "commons", "redistribution"]))
+GATE = re.compile("|".join(["license", "licensed", "commons", "redistribution", "permission", "derived", "applicable", "distributed", "unencumbered", "neighboring"]))
 
 
 def _lower(text: Column) -> Column:
@@ -58,10 +102,11 @@ def _words(text: Column) -> Column:
 
 def document_counts(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
     """Rows, and rows that hold each licence word; over all rows."""
-    words = docs.select(F.explode(F.array_distinct(_words(docs[text_col]))).alias("w"))
-    vocabulary = docs.sparkSession.createDataFrame([(w,) for w in VOCABULARY], "w string")
-    n = docs.count()
-    return n, {r["w"]: r["n"] for r in words.join(F.broadcast(vocabulary), "w").groupBy("w").agg(F.count("*").alias("n")).collect()}
+    mine = F.array_distinct(F.filter(_words(docs[text_col]), lambda w: w.isin(VOCABULARY)))
+    # One more word for each row counts the rows.
+    words = docs.select(F.explode(F.concat(F.array(F.lit("")), mine)).alias("w"))
+    counts = {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    return counts.pop("", 0), counts
 
 
 def _places(words: Column, phrase: list[str]) -> Column:

@@ -66,7 +66,7 @@ def test_licence_places(spark):
 
 def test_licences_of_one_file(spark):
     every = " and ".join(wording for _, wording, _ in licenses.TEMPLATES)
-    rows = [(1, every), *[(2 + k, wording) for k, (_, wording, _) in enumerate(licenses.TEMPLATES)], *[(20 + k, "plain words of a text") for k in range(20)]]
+    rows = [(1, every), *[(2 + k, wording) for k, (_, wording, _) in enumerate(licenses.TEMPLATES)], *[(100 + k, "plain words of a text") for k in range(40)]]
     got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {label for label, _, _ in licenses.TEMPLATES} <= got[1]
     assert all(label in got[2 + k] for k, (label, _, _) in enumerate(licenses.TEMPLATES))
