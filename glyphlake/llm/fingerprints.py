@@ -1,16 +1,17 @@
 """Operator 4 (native): homomorphic multiset fingerprints.
 
 A text is a multiset of paragraphs (lines, cut after sentence ends too, with their separators). Each
-paragraph is hashed to a wide vector and the vectors are summed: 8 lanes of 32 uniform bits from
-SHA-256 modulo 2**32 decide equality whatever the order, and 128 lanes of one bit from MD5 modulo
-2**16 in the printed form count signs. Inserting or deleting a paragraph adds or subtracts its
-vector. The sign lanes of a difference have variance equal to the number of paragraphs that two
-texts don't share, which gives the likeness.
-
-Rows are dealt by ranges of the id, whose borders are quantiles over all rows, so the next document
-is found without a global sort; each range also gets a copy of the first document of the range
-after it. Rows with the same id are ordered by their text; a null id comes last; a null text is
-empty; an only row is its own next document.
+paragraph is hashed to a wide vector and the vectors are summed: 8 lanes of 32 uniform bits modulo 2**32
+decide equality whatever the order, and 128 lanes of one bit, modulo 2**16 in the printed form, count signs.
+Inserting or deleting a paragraph adds or subtracts its vector. The sign lanes of a difference have variance
+equal to the number of paragraphs that two texts don't share, which gives the likeness.
+
+Rows are dealt by ranges of the id, four for each shuffle partition, whose borders are quantiles over all rows, so the next
+document is found without a global sort; each range also gets a copy of the first document of the range
+after it.
+
+Rows with the same id are ordered by their text; a null id comes last; a null text is empty; very long texts are taken whole; an
+only row is its own next document; an empty table gives an empty result; columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from glyphlake.llm.common import documents, let
 
 #: Fixed parts of the vector.
 EQUALITY_LANES, SIGN_LANES = 8, 128
-#: Most ranges into which ids are dealt, and so most borders held as a literal.
-MOST_RANGES = 4096
 
 _UNIT_END = r"(?<=\n)|(?<=[.!?][ ])"
 
@@ -33,15 +32,16 @@ def units(text: Column) -> Column:
     return F.filter(F.split(text, _UNIT_END), lambda u: u != "")
 
 
-def _words32(hex_: Column, n: int) -> list[Column]:
-    return [F.conv(F.substring(hex_, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(n)]
+def _halves(hashes: list[Column]) -> list[Column]:
+    return [half for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
 
 
 def _bound_range(id_: Column, borders: list[int]) -> Column:
     """Number of borders that are not above the id, by binary search."""
     if not borders:
         return F.lit(0)
-    b = F.array(*[F.lit(x).cast("long") for x in borders])
+    # One literal that is folded once, however many borders there are.
+    b = F.split(F.lit(",".join(map(str, borders))), ",").cast("array<bigint>")
     steps = F.sequence(F.lit(1), F.lit(len(borders).bit_length()))
 
     def half(s: Column, _: Column) -> Column:
@@ -88,11 +88,13 @@ def _vector_sums(unit: str) -> list[Column]:
 
 
 def _hashed(rows: DataFrame, unit: str) -> DataFrame:
-    rows = rows.withColumn("_sha", F.sha2(F.col(unit).cast("binary"), 256)).withColumn("_md5", F.md5(F.col(unit).cast("binary")))
+    """32 bits for each lane of equality and each word of signs, from 64-bit hashes with different seeds; a null unit has zeros."""
     spread = lambda w: w.bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.shiftleft(F.shiftright(w, 16), 32))
-    names = {f"h{k}": F.coalesce(c, F.lit(0)) for k, c in enumerate(_words32(F.col("_sha"), EQUALITY_LANES))}
-    names |= {f"g{k}": F.coalesce(spread(c), F.lit(0)) for k, c in enumerate(_words32(F.col("_md5"), SIGN_LANES // 32))}
-    return rows.withColumns(names).drop("_sha", "_md5")
+    seeded = lambda first, n: _halves([F.xxhash64(F.lit(first + k), unit) for k in range(n // 2)])
+    there = lambda c: F.when(F.col(unit).isNotNull(), c).otherwise(F.lit(0))
+    names = {f"h{k}": there(c) for k, c in enumerate(seeded(1, EQUALITY_LANES))}
+    names |= {f"g{k}": there(spread(c)) for k, c in enumerate(seeded(101, SIGN_LANES // 32))}
+    return rows.withColumns(names)
 
 
 def _as_vector() -> Column:
@@ -114,7 +116,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprints of every text, its edited text and its next document, with their likeness."""
     spark = docs.sparkSession
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    ranges = max(1, min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     got = src.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
     dealt = src.withColumn("part", _bound_range(F.col("doc_id"), sorted(set(got or []))))
     # At most one row for each range from here to ``heads``.
