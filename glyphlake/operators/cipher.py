@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphlake.operators.graphs import trie
 from glyphlake.operators.models import alignment
 
 EPS, SIL = 0, 1
@@ -397,8 +398,11 @@ def expectations(obs: DataFrame, params: list[Parameters], lm: LetterModel) -> D
     return obs.select("syms").mapInPandas(run, "restart int, kind string, src int, dst int, c double").groupBy("restart", "kind", "src", "dst").agg(F.sum("c").alias("c"))
 
 
-def maximise(counts: pd.DataFrame, params: list[Parameters], train_lex: bool, train_ali: bool) -> list[Parameters]:
-    """Lexical columns sum to 1; an alignment state's moves keep their mass. A group without counts keeps its weights."""
+def maximise(counts: pd.DataFrame, params: list[Parameters], train_lex: bool, train_ali: bool, floor: float = 0.0) -> list[Parameters]:
+    """Lexical columns sum to 1; an alignment state's moves keep their mass. A group without counts keeps its weights.
+
+    ``floor`` is added to the count of every letter that the model had for a symbol, so that none of them goes for good.
+    """
     out = []
     for r, p in enumerate(params):
         mine = counts[counts.restart == r]
@@ -407,6 +411,7 @@ def maximise(counts: pd.DataFrame, params: list[Parameters], train_lex: bool, tr
             x = mine[mine.kind == "lex"]
             c = np.zeros_like(lex)
             c[x.src.to_numpy(), x.dst.to_numpy()] = x.c.to_numpy()
+            c += np.where((lex > 0) & (c.sum(axis=0) > 0), floor, 0)
             total = c.sum(axis=0)
             lex[:, total > 0] = (c / np.where(total > 0, total, 1))[:, total > 0]
         if train_ali:
@@ -419,7 +424,7 @@ def maximise(counts: pd.DataFrame, params: list[Parameters], train_lex: bool, tr
     return out
 
 
-def train(obs: DataFrame, params: list[Parameters], lm: LetterModel, iterations: int = 20, train_lex: bool = True, train_ali: bool = False) -> tuple[list[Parameters], pd.DataFrame]:
+def train(obs: DataFrame, params: list[Parameters], lm: LetterModel, iterations: int = 20, train_lex: bool = True, train_ali: bool = False, floor: float = 0.0) -> tuple[list[Parameters], pd.DataFrame]:
     """EM over all restarts; the log has (restart, iter, cost, n_failed) before each update."""
     log = []
     for it in range(iterations):
@@ -427,7 +432,7 @@ def train(obs: DataFrame, params: list[Parameters], lm: LetterModel, iterations:
         for r in range(len(params)):
             mine = counts[counts.restart == r]
             log.append((r, it, float(mine[mine.kind == "cost"].c.sum()), int(mine[mine.kind == "failed"].c.sum())))
-        params = maximise(counts, params, train_lex, train_ali)
+        params = maximise(counts, params, train_lex, train_ali, floor)
     return params, pd.DataFrame(log, columns=["restart", "iter", "cost", "n_failed"])
 
 
@@ -437,16 +442,37 @@ def select_restart(log: pd.DataFrame) -> int:
     return int(last.restart.iloc[0])
 
 
-def curriculum(obs: DataFrame, starts: list[Parameters], models: list[LetterModel], iterations: int = 20, keep_top: int = 20) -> tuple[Parameters, pd.DataFrame]:
-    """Restarts on the first model; the best one, pruned, goes on through the others with the alignment trained too."""
-    params, log = train(obs, starts, models[0], iterations)
+def curriculum(obs: DataFrame, starts: list[Parameters], models: list[LetterModel], iterations: int | list[int] = 20, keep_top: int = 20) -> tuple[Parameters, pd.DataFrame]:
+    """Restarts on the first model; the best one, pruned, goes on through the others with the alignment trained too. ``iterations``: for all models or for each."""
+    steps = [iterations] * len(models) if isinstance(iterations, int) else iterations
+    params, log = train(obs, starts, models[0], steps[0])
     best = params[select_restart(log)]
     best = Parameters(prune_matrix(best.lex, keep_top), best.arcs)
-    for lm in models[1:]:
-        (best,), _ = train(obs, [best], lm, iterations, train_ali=True)
+    for lm, n in zip(models[1:], steps[1:]):
+        (best,), _ = train(obs, [best], lm, n, train_ali=True)
     return best, log
 
 
+def word_model(words: list[tuple[list[int], float]]) -> LetterModel:
+    """A letter model that allows the words (letters, p) only, each between silences: contexts are a trie's nodes, and a
+    node's arcs have the share of its mass that goes on there. It begins in a silence or in a word."""
+    g = trie(words, SIL)
+    p = [(a, s, b, float(np.exp(-w))) for a, b, s, _, w in g.arcs]
+    root = [x for x in p if x[0] == 0]
+    # Words follow a silence; before the first there may be one more.
+    again = 1 + max(max(x[0], x[2]) for x in p)
+    arcs = [(again if a == 0 else a, s, again if b == 0 else b, q) for a, s, b, q in p] + [(0, SIL, again, 0.5)] + [(0, s, b, 0.5 * q) for _, s, b, q in root]
+    x = np.array(arcs)
+    return LetterModel(x[:, 0].astype(np.int64), x[:, 1].astype(np.int64), x[:, 2].astype(np.int64), x[:, 3].astype(float), again + 1)
+
+
+def word_stage(obs: DataFrame, params: Parameters, words: list[tuple[list[int], float]], iterations: int = 20, floor: float = 1e-300) -> Parameters:
+    """Training on whole words: the smoothed lexical model, then EM with both models trained and no letter dropped; smoothed again for decoding."""
+    start = Parameters(smooth_matrix(params.lex), params.arcs)
+    (best,), _ = train(obs, [start], word_model(words), iterations, train_ali=True, floor=floor)
+    return Parameters(smooth_matrix(best.lex), best.arcs)
+
+
 def prune_matrix(lex: np.ndarray, k: int) -> np.ndarray:
     body = lex[2:, 2:]
     kth = lambda m, axis: np.sort(m, axis=axis).take(-min(k, m.shape[axis]), axis=axis)

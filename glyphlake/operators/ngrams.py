@@ -62,7 +62,7 @@ def continuation_counts(bi: DataFrame) -> DataFrame:
 def discounts(counts: DataFrame) -> DataFrame:
     """The three discounts of modified Kneser-Ney, as one row."""
     n = [F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     # A count of counts of 0 leaves the discount without an estimate: no discount then.
     d = lambda k: F.greatest(F.lit(0.0), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.0)))
     return counts.agg(*n).select(d(1).alias("d1"), d(2).alias("d2"), d(3).alias("d3"))
@@ -144,10 +144,10 @@ def pruned(model: list[DataFrame], least: float) -> DataFrame:
     w = Window.partitionBy("ctx")
     rows = top.withColumns({"sp": F.sum("p").over(w), "sl": F.sum("low").over(w)})
     hist = _history(rows.select("ctx").distinct(), model[: order - 1])
-    rows = rows.join(hist, "ctx").withColumn("a2", (1 - F.col("sp") + F.col("p")) / (1 - F.col("sl") + F.col("low")))
+    rows = rows.join(hist, "ctx").withColumn("a2", F.try_divide(1 - F.col("sp") + F.col("p"), 1 - F.col("sl") + F.col("low")))
     loss = -F.col("ph") * (F.col("p") * (F.ln("low") + F.ln("a2") - F.ln("p")) + (1 - F.col("sp")) * (F.ln("a2") - F.ln("bow")))
     kept = rows.where((F.exp(loss) - 1 >= least) | (1 - F.col("sl") < 1e-6) | (1 - F.col("sp") < 1e-6)).select("ctx", "sym", "p", "low")
-    return kept.withColumn("bow", (1 - F.sum("p").over(w)) / (1 - F.sum("low").over(w)))
+    return kept.withColumn("bow", F.try_divide(1 - F.sum("p").over(w), 1 - F.sum("low").over(w)))
 
 
 def _history(contexts: DataFrame, model: list[DataFrame]) -> DataFrame:

@@ -384,6 +384,8 @@ def star_join(spark, d):
 
 #: Training budget: the reference's 20 minutes, shortest first (prepare_input.sh), at an assumed 12.5 symbols a second; and its EM iterations.
 CIPHER_SYMBOLS, CIPHER_ITERATIONS = 15_000, 20
+#: Iterations for the models of the orders 2 to 5 in the decoding query.
+CURRICULUM = [20, 20, 3, 3]
 
 
 def _cipher(spark, d):
@@ -404,14 +406,11 @@ def _training(spark, obs: DataFrame) -> DataFrame:
 
 
 def _letter_lm(rows: DataFrame, order: int = 2) -> cipher.LetterModel:
-    seq = rows.select(F.split("plain", " ").alias("words"))
+    """All contexts up to two letters; beyond that the most frequent ones, 1,000 for each order over 3."""
+    model = ngrams.grapheme_model(rows.select(F.split("plain", " ").alias("words")), order, 3, 1_000 * (order - 3))
     num = lambda c: 1 if c == ngrams.SIL else ord(c) - 95
-    got = ngrams.mle(ngrams.ngrams(seq, order)).collect()  # at most alphabet ** order rows
-    probs = {(tuple(map(num, r["ctx"])), num(r["sym"])): r["p"] for r in got}
-    for k in range(1, order):  # a path comes to the long contexts through the shorter ones
-        for r in ngrams.mle(ngrams.ngrams(seq, k)).collect():
-            probs.setdefault((tuple(map(num, r["ctx"])), num(r["sym"])), r["p"])
-    return cipher.LetterModel.from_probs(probs, order)
+    # At most the alphabet to the power of 3 rows, and those of the further contexts.
+    return cipher.LetterModel.from_probs({(tuple(map(num, r["ctx"])), num(r["sym"])): r["p"] for r in model.collect()}, order)
 
 
 def _starts(spark, restarts: int) -> list[cipher.Parameters]:
@@ -434,7 +433,7 @@ def em_training_log(spark, d):
 def decode_cipher(spark, d):
     rows, obs = _cipher(spark, d)
     lm = _letter_lm(rows)
-    best, _ = cipher.curriculum(_training(spark, obs), _starts(spark, 2), [lm, _letter_lm(rows, 3)], CIPHER_ITERATIONS)
+    best, _ = cipher.curriculum(_training(spark, obs), _starts(spark, 2), [lm, *(_letter_lm(rows, k) for k in (3, 4, 5))], CURRICULUM)
     found = cipher.decode(obs, cipher.Parameters(cipher.smooth_matrix(best.lex), best.arcs), lm)
     letters = F.trim(F.array_join(F.transform("tokens", lambda t: F.when(t == 1, F.lit(" ")).otherwise(F.char(t + 95))), ""))
     return found.join(obs.select("utt_id", "plain"), "utt_id").select("utt_id", letters.alias("decoded"), F.round(F.levenshtein(letters, F.col("plain")) / F.length("plain"), 4).alias("error_rate"))

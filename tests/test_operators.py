@@ -18,6 +18,26 @@ def test_reject_rules(spark):
     assert got[5][1].endswith("<unk>")
 
 
+def test_names_and_composition(spark):
+    """Accents that stand alone are composed before words are judged; letters follow Unicode's names."""
+    lines = ["cafe\u0301 one two three four", "e\u0301te\u0301 one two three four", "x\u0661 one two three four five", "1\u00ba\u00aa one two three four five six"]
+    got = {r["doc_id"]: r["line"] for r in rows(spark, lines).collect()}
+    assert got == {0: "caf\u00e9 one two three four", 1: "\u00e9t\u00e9 one two three four", 2: "<unk> one two three four five", 3: "<unk> one two three four five six"}
+    import re
+
+    marks = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), T.sentence_marks()) + "]")
+    assert all(marks.match(c) for c in ",;.!?\u3002\u061f") and not any(marks.match(c) for c in "a-'\u00e9")
+    greek = T.normalise(spark.createDataFrame([(0, 0, "\u03b1\u03b2 \u03b3 \u03b4\u03b5 \u03b6\u03b7 \u03b8\u03b9 \u03ba\u03bb latin")], "doc_id long, line_no int, line string"), script="greek").first()
+    assert greek["line"].endswith("<unk>") and greek["line"].count("<unk>") == 1
+
+
+def test_alphabet_is_fed_back(spark):
+    """A letter that is too rare in the sample makes its words unknown in the second pass."""
+    src = spark.createDataFrame([(k, 0, "one two three four five") for k in range(2000)] + [(9999, 0, "one two three four five z\u00fc")], "doc_id long, line_no int, line string")
+    letters = T.allowed_letters(T.accepted(src))
+    assert T.accepted(src, letters=letters).where("doc_id = 9999").first()["line"] == "one two three four five <unk>"
+
+
 def test_nfc_and_budgets(spark):
     df = spark.createDataFrame([("é",), (None,)], "t string").select(T.canonical(F.col("t")).alias("t"))
     assert {r["t"] for r in df.collect()} == {"é", None}
@@ -44,6 +64,37 @@ def test_bpe_round_trip(spark):
         assert r["tokenised"].replace("@@ ", "") == r["line"]
 
 
+def test_bpe_keeps_glossaries_spaces_and_versions(spark):
+    merges = [("l", "o"), ("lo", "w</w>"), ("U", "S")]
+    df = spark.createDataFrame([("  low  1934USABUSA low ",), ("USA",), ("   ",), (None,)], "line string")
+    got = [r["tokenised"] for r in bpe.apply(df, merges, glossary=("<unk>", "USA")).collect()]
+    assert got == ["  low 1@@ 9@@ 3@@ 4@@ USA@@ B@@ USA low ", "USA", "   ", None]
+    old = [("l", "o"), ("lo", "w"), ("low", "</w>")]
+    assert bpe.split_word("low", dict(zip(old, range(3))), version=(0, 1)) == ["low"]
+    assert bpe.split_word("lows", dict(zip(old, range(3))), version=(0, 1)) == ["low", "s"]
+    assert bpe.split_word("low", {("l", "o"): 0, ("lo", "w</w>"): 1}, keep={"lo@@", "w"}) == ["lo", "w"]
+
+
+def test_bpe_learning_by_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))): rng.randrange(1, 9) for _ in range(60)}
+    parts = {w: [*w[:-1], w[-1] + "</w>"] for w in words}
+    want = []
+    for _ in range(15):
+        count = {}
+        for w, p in parts.items():
+            for pair in zip(p, p[1:]):
+                count[pair] = count.get(pair, 0) + words[w]
+        best = min(count, key=lambda x: (-count[x], x))
+        if count[best] < 2:
+            break
+        want.append(best)
+        parts = {w: bpe.merge(p, best) for w, p in parts.items()}
+    assert bpe.learn(spark.createDataFrame(list(words.items()), "word string, freq long"), 15) == want
+
+
 def test_models(spark):
     lex = models.lexical(spark, 112, 3).toPandas()
     assert np.allclose(lex.p, 1 / 110)
