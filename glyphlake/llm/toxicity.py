@@ -1,16 +1,17 @@
 """Operator 6: toxicity by subword-bag embeddings.
 
 A word is the mean of the vectors of its hashed character n-grams (and of itself), a text is the mean
-of its words, and a linear softmax over that mean gives the classes. Vectors and softmax are trained
-jointly in numpy. Misspellings share most n-grams with what was seen.
+of its words (a text of fewer than ``SHORT`` words counts as so many), and a linear softmax over that mean gives the
+classes' probabilities: the score is the second one's. Vectors and softmax are trained jointly in numpy. Misspellings share
+most n-grams with what was seen. As the mean is linear, scoring adds up a number for each word.
 
-The mean being linear, each word has log odds of its own. A document is scored by the mean of what
-its words have beyond a margin, so that ordinary words, of which long texts have many, can't outweigh
-a few bad ones. The verdict's threshold is set on labelled rows that weren't fitted.
+Training takes a bounded sample of labelled rows, whole: of each class the ``PER_CLASS`` rows with the
+smallest digest of their id, outside the held-out fold. Four of five are fitted, in ``EPOCHS`` passes
+whatever their number; the fifth sets the softmax's bias, so that 0.5 tells the classes apart best. All rows are scored, over their whole texts.
 
-Training takes a bounded sample of labelled rows: of each class the ``PER_CLASS`` rows with the
-smallest digest of their id, outside the held-out fold. All rows are scored, over their whole texts.
-Null and empty texts have no words and score as a clean text. Repeated rows get equal scores.
+Null and empty texts have no words and the score of the bias alone, a clean one; very long texts are taken whole; an empty
+table gives an empty result; without labels of both classes every text is clean. Repeated rows get equal
+scores; labels that disagree on an id are all taken. Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -26,17 +27,15 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.common import documents
 
-#: Bound of the training sample: labelled rows of each class, and words of each that are fitted.
-PER_CLASS, TRAIN_WORDS = 1_500, 1_000
+#: Bound of the training sample: labelled rows of each class.
+PER_CLASS = 1_500
 DIM, BUCKETS, GRAMS = 8, 1 << 17, (3, 4, 5, 6)
 #: Fitting: passes, AdaGrad's rate, factor of the mean, words that a shorter text counts as.
-EPOCHS, RATE, SCALE, SHORT = 6, 0.1, 10.0, 40
-#: Small samples get more passes, for so many steps at least.
-LEAST_STEPS = 8_000
-#: A bucket is used if so many training texts have it.
-SEEN = 3
-#: Log odds of a word that count as ordinary.
-MARGIN = 2.0
+EPOCHS, RATE, SCALE, SHORT = 12, 0.1, 100.0, 40
+#: Length that a vector loses in each step, as a share of the rate.
+SHRINK = 0.05
+#: A bucket is used if so large a share of the training texts of one class has it.
+SEEN = 0.05
 #: Cost of a clean row rejected, in toxic rows missed (as shares of their class).
 FALSE_ALARM = 3.0
 MEMORY = 300_000
@@ -58,18 +57,17 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Model:
-    """Embeddings (BUCKETS x DIM), a softmax (DIM x 2, with biases), the verdict's threshold and the width of its slope."""
+    """Embeddings (BUCKETS x DIM) and a softmax (DIM x 2, with biases)."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-        self.softmax = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
-        self.bias = np.zeros(2, np.float32)
-        self.threshold, self.width = 1.0, 0.25
+        self.vectors = rng.uniform(-0.1 / DIM, 0.1 / DIM, (BUCKETS, DIM)).astype(np.float32)
+        self.softmax = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
+        self.bias = np.array([0.5, -0.5], np.float32)
         self.memory: dict[bytes, float] = {}
 
     def word_score(self, word: bytes) -> float:
-        """A word's own log odds."""
+        """A word's part of the log odds."""
         got = self.memory.get(word)
         if got is None:
             if len(self.memory) >= MEMORY:
@@ -77,14 +75,15 @@ class Model:
             got = self.memory[word] = float(self.vectors[grams(word)].mean(axis=0) @ (self.softmax[:, 1] - self.softmax[:, 0]))
         return got
 
-    def evidence(self, text: str | None) -> float:
+    def log_odds(self, text: str | None) -> float:
+        """Difference of the softmax's two inputs for the mean of the words."""
         words = tokens(text)
         known, new = self.memory.get, self.word_score
-        scores = [x if (x := known(w)) is not None else new(w) for w in words]
-        return sum(x - MARGIN for x in scores if x > MARGIN) / max(SHORT, len(words))
+        total = sum([x if (x := known(w)) is not None else new(w) for w in words])
+        return SCALE * total / max(SHORT, len(words)) + float(self.bias[1] - self.bias[0])
 
     def probability(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, (self.evidence(text) - self.threshold) / self.width))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.log_odds(text)))))
 
     def fit(self, texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> Model:
         """Joint AdaGrad on vectors and softmax, one text at a time; both classes weigh the same."""
@@ -93,9 +92,9 @@ class Model:
             return self
         rng = np.random.default_rng(11)
         known: dict[bytes, np.ndarray] = {}
-        bags, count = [], np.zeros(BUCKETS, np.int64)
-        for text in texts:
-            words = tokens(text)[:TRAIN_WORDS]
+        bags, share_of = [], np.zeros((2, BUCKETS))
+        for text, label in zip(texts, labels):
+            words = tokens(text)
             if not words:
                 bags.append(None)
                 continue
@@ -104,18 +103,18 @@ class Model:
             of = [known[w] if w in known else known.setdefault(w, np.array(grams(w), np.int32)) for w in words]
             share = np.repeat([1 / len(g) for g in of], [len(g) for g in of])
             u, back = np.unique(np.concatenate(of), return_inverse=True)
-            count[u] += 1
+            share_of[label, u] += 1 / (sum(labels) if label else n - sum(labels))
             bags.append((u, (np.bincount(back, share) * (SCALE / max(SHORT, len(words)))).astype(np.float32)))
         known.clear()
-        # Buckets that too few texts have keep a zero vector: they would only be learnt by heart.
-        self.vectors[count < SEEN] = 0
+        # Other buckets keep a zero vector: they would only be learnt by heart.
+        used = share_of.max(axis=0) >= SEEN
+        self.vectors[~used] = 0
         for k, bag in enumerate(bags):
             if bag:
-                on = count[bag[0]] >= SEEN
+                on = used[bag[0]]
                 bags[k] = (bag[0][on], bag[1][on])
         weight = {1: 0.5 * n / sum(labels), 0: 0.5 * n / (n - sum(labels))}
         seen_v, seen_s, seen_b = np.full(self.vectors.shape, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-        epochs = max(epochs, -(-LEAST_STEPS // n))
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
             for k in rng.permutation(n):
@@ -137,15 +136,18 @@ class Model:
                 grad_v = w[:, None] * grad_h
                 squares += grad_v * grad_v
                 seen_v[g] = squares
-                self.vectors[g] = rows - rate * grad_v / np.sqrt(squares)
+                rows -= rate * grad_v / np.sqrt(squares)
+                # Vectors are shortened by a constant length, so only those that keep being asked for stay.
+                length = np.sqrt(np.einsum("ij,ij->i", rows, rows)) + 1e-9
+                self.vectors[g] = rows * np.maximum(0, 1 - rate * SHRINK / length)[:, None]
         self.memory.clear()
         return self
 
     def calibrate(self, texts: list[str | None], labels: list[int]) -> Model:
-        """Put the verdict's threshold where rows that weren't trained on are told apart best, in the middle of the gap."""
+        """Set the bias so that even odds stand where rows that weren't fitted are told apart best, in the middle of the gap; an empty text stays clean."""
         if not 0 < sum(labels) < len(labels):
             return self
-        z = np.array([self.evidence(t) for t in texts])
+        z = np.array([self.log_odds(t) for t in texts])
         y = np.array(labels)
         order = np.argsort(z)
         z, y = z[order], y[order]
@@ -153,8 +155,11 @@ class Model:
         cost = np.concatenate([[0], np.cumsum(y) / y.sum()]) + FALSE_ALARM * np.concatenate([np.cumsum((1 - y)[::-1])[::-1] / (1 - y).sum(), [0]])
         best = np.flatnonzero(cost <= cost.min() + 1e-12)
         k = int(best[len(best) // 2])
-        self.threshold = max(0.05, float((z[max(0, k - 1)] + z[min(len(z) - 1, k)]) / 2))
-        self.width = self.threshold / 4
+        edge = float((z[max(0, k - 1)] + z[min(len(z) - 1, k)]) / 2)
+        self.bias += np.array([edge / 2, -edge / 2], np.float32)
+        least = float(self.bias[1] - self.bias[0]) + 0.1
+        if least > 0:
+            self.bias += np.array([least / 2, -least / 2], np.float32)
         return self
 
 
@@ -174,9 +179,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
         part = marked.where(F.col("toxic") == c).orderBy(key, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    # The text is cut for the driver's memory: only the training words.
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, 8 * TRAIN_WORDS).alias("text"), "toxic").dropDuplicates(["doc_id"])
-    return [(r["text"], r["toxic"]) for r in sorted(joined.collect(), key=lambda r: r["doc_id"])]
+    # The broadcast has two rows for each of ``per_class`` at most.
+    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id", "toxic"])
+    return [(r["text"], r["toxic"]) for r in sorted(joined.collect(), key=lambda r: (r["doc_id"], r["toxic"]))]
 
 
 _models: dict[int, tuple] = {}
@@ -186,7 +191,7 @@ def _worker_model(shared) -> Model:
     if id(shared) not in _models:
         _models.clear()
         m = Model()
-        m.vectors, m.softmax, m.bias, m.threshold, m.width = shared.value
+        m.vectors, m.softmax, m.bias = shared.value
         _models[id(shared)] = shared, m
     return _models[id(shared)][1]
 
@@ -197,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.softmax, model.bias, model.threshold, model.width))
+    shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.softmax, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _worker_model(shared)
@@ -211,7 +216,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_civil(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose text isn't predicted to be toxic, with their own columns only."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.softmax, model.bias, model.threshold, model.width))
+    shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.softmax, model.bias))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
