@@ -245,7 +245,8 @@ def plain_hierarchy(rows):
     return {k: sum(np.log10(probability(p)) for p in pairs[k]) for k, _ in rows}
 
 
-def test_language_model_by_plain_dictionaries(spark):
+def test_language_model_by_plain_dictionaries(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "PART_TOKENS", 30)
     rng = random.Random(4)
     words = [f"w{k}" for k in range(40)]
     rows = [(k, " ".join(rng.choice(words[: rng.randrange(1, 40)]) for _ in range(rng.randrange(60)))) for k in range(60)]
