@@ -1,6 +1,9 @@
 """The corpus pipeline: quality rules, toxicity, near duplicates, repeated passages, packing.
 
-Each stage works on all that the one before it kept; all but the last return the columns of documents.
+Each stage works on all that the one before it kept; all but the last return the columns of documents, extra columns included,
+whatever their names. Null and empty texts fail the quality rules; very long texts are taken whole; repeated rows are judged alike, and
+near duplicates keep all rows of the smallest id of a group; an empty table goes through every stage as one. The
+classifier is trained on a bounded sample of the labelled rows of the whole table.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: No SQL can express the classifier or the tokenizer; tests hold the stages against brute force.
+#: No SQL can express the classifier or the tokenizer; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -163,3 +163,33 @@ def test_uniform_chain_has_a_closed_form():
     lex[2:, 2:-1] = 1 / n
     arcs = {(0, 1, "start"): 1.0, (1, 2, "match"): 1.0, (2, 2, "match"): 1.0}
     assert np.isclose(cipher.Lattice(cipher.Parameters(lex, arcs), lm).forward([2 + k % n for k in range(t)])[1], -t * np.log(n))
+
+
+def test_known_key_is_recovered(spark, monkeypatch):
+    """English lines under a shifted alphabet, a short training budget and few iterations: letters come back."""
+    from conftest import SF
+    from glyphlake.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "CIPHER_SYMBOLS", 4_000)
+    rows, obs = catalogue._cipher(spark, SF)
+    lm = catalogue._letter_lm(rows)
+    best, log = cipher.curriculum(catalogue._training(spark, obs), catalogue._starts(spark, 2), [lm, catalogue._letter_lm(rows, 3)], [15, 5])
+    assert all((np.diff(x.cost) <= 1e-6).all() for _, x in log.groupby("restart"))
+    found = cipher.decode(obs.limit(30), cipher.Parameters(cipher.smooth_matrix(best.lex), best.arcs), lm)
+    letters = F.trim(F.array_join(F.transform("tokens", lambda t: F.when(t == 1, F.lit(" ")).otherwise(F.char(t + 95))), ""))
+    assert found.join(obs, "utt_id").agg(F.avg(F.levenshtein(letters, F.col("plain")) / F.length("plain"))).first()[0] < 0.1
+
+
+def test_curriculum_models_of_higher_orders(spark):
+    """Orders 4 and 5 keep all short contexts and the most frequent long ones; every context's arcs lead on."""
+    from conftest import SF
+    from glyphlake.plans import catalogue
+
+    rows, _ = catalogue._cipher(spark, SF)
+    sizes = []
+    for order in (2, 3, 4, 5):
+        lm = catalogue._letter_lm(rows, order)
+        mass = np.bincount(lm.src, lm.p, lm.n)
+        assert np.allclose(mass[np.unique(lm.src)], 1, atol=1e-9) and set(lm.dst) <= set(lm.src)
+        sizes.append(lm.n)
+    assert sizes[0] < sizes[1] < sizes[2] < sizes[3] and sizes[2] - sizes[1] >= 900
