@@ -51,7 +51,7 @@ def unigram_witten_bell(uni: DataFrame) -> DataFrame:
 def witten_bell(bi: DataFrame, uni: DataFrame) -> DataFrame:
     """p(w|h) = (c(h,w) + T(h) p(w)) / (c(h) + T(h))."""
     w = Window.partitionBy("ctx")
-    rows = bi.withColumns({"c": F.sum("n").over(w), "t": F.count("*").over(w)}).join(F.broadcast(unigram_witten_bell(uni)), "sym")
+    rows = bi.withColumns({"c": F.sum("n").over(w), "t": F.count("*").over(w)}).join(unigram_witten_bell(uni), "sym")
     return rows.select("ctx", "sym", ((F.col("n") + F.col("t") * F.col("p")) / (F.col("c") + F.col("t"))).alias("p"))
 
 
@@ -75,7 +75,7 @@ def kneser_ney(bi: DataFrame) -> DataFrame:
     w = Window.partitionBy("ctx")
     rows = bi.crossJoin(F.broadcast(discounts(bi)))
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = rows.withColumn("d", d).withColumns({"c": F.sum("n").over(w), "gamma": F.sum("d").over(w)}).join(F.broadcast(p_low), "sym")
+    rows = rows.withColumn("d", d).withColumns({"c": F.sum("n").over(w), "gamma": F.sum("d").over(w)}).join(p_low, "sym")
     return rows.select("ctx", "sym", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("c") + F.col("gamma") / F.col("c") * F.col("low")).alias("p"))
 
 

@@ -119,7 +119,7 @@ EVENT_SYM = "s AS (SELECT event_type, (row_number() OVER (ORDER BY event_type) +
 
 
 def encoded_events(spark, d) -> DataFrame:
-    rows = table(spark, d, "events").join(F.broadcast(event_symbols(spark, d)), "event_type")
+    rows = table(spark, d, "events").join(event_symbols(spark, d), "event_type")
     ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "id")))
     return rows.groupBy("user_id").agg(F.transform(ordered, lambda x: x["id"]).alias("syms"))
 
@@ -131,7 +131,7 @@ def symbol_encode(spark, d):
 
 @query("SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS names FROM events GROUP BY user_id")
 def symbol_decode(spark, d):
-    flat = encoded_events(spark, d).select("user_id", F.posexplode("syms").alias("pos", "id")).join(F.broadcast(event_symbols(spark, d)), "id")
+    flat = encoded_events(spark, d).select("user_id", F.posexplode("syms").alias("pos", "id")).join(event_symbols(spark, d), "id")
     return flat.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "event_type"))), lambda x: x["event_type"]), " ").alias("names"))
 
 
@@ -242,16 +242,27 @@ def bpe_pair_counts(spark, d):
     return bpe.pair_counts(bpe.word_counts(corpus(spark, d)))
 
 
+#: Lines that merges are learnt on, the first ones, and how many merges.
+BPE_LINES, BPE_MERGES = 100_000, 10_000
+
+
+def learning_words(spark, d) -> DataFrame:
+    """Word frequencies of the first accepted lines."""
+    rows = corpus(spark, d).select("doc_id", "line_no", "line", F.lit(1).alias("one"))
+    first = budgets.ordered_prefix(budgets.first_keys(rows, "doc_id", "one", BPE_LINES), ["doc_id", "line_no"], "one", BPE_LINES)
+    return bpe.word_counts(first)
+
+
 @query()
 def bpe_learn(spark, d):
-    merges = bpe.learn(bpe.word_counts(corpus(spark, d)), 200)
+    merges = bpe.learn(learning_words(spark, d), BPE_MERGES)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, lft string, rgt string")
 
 
 @query()
 def bpe_apply(spark, d):
     rows = corpus(spark, d).select("doc_id", "line_no", "line")
-    return bpe.apply(rows, bpe.learn(bpe.word_counts(rows), 200)).select("doc_id", "line_no", "tokenised")
+    return bpe.apply(rows, bpe.learn(learning_words(spark, d), BPE_MERGES)).select("doc_id", "line_no", "tokenised")
 
 
 LEX = "raw AS (SELECT r::INTEGER AS restart, s::INTEGER AS src, t::INTEGER AS tgt, CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE (('0x' || substr(md5(r || '/' || t || '/' || s), 1, 8))::BIGINT::DOUBLE + 1) / 4294967296.0::DOUBLE END AS u FROM range(1, 6) a(r), range(2, 31) b(t), range(2, 40) c(s)), lex AS (SELECT restart, src, tgt, u / sum(u) OVER (PARTITION BY restart, tgt) AS p FROM raw)"
@@ -350,7 +361,7 @@ def rescore_swap_lm(spark, d):
     """Old model (unigram) out, new one (uniform) in, the cheapest hypothesis of each slot."""
     events = table(spark, d, "events")
     lm = events.groupBy("event_type").agg(F.count("*").alias("k")).crossJoin(F.broadcast(events.agg(F.count("*").alias("all")))).select("event_type", (-F.ln(F.col("k") / F.col("all"))).alias("lm"))
-    rows = _slots(spark, d).join(F.broadcast(lm), "event_type").withColumn("cost", r6(-F.ln("post") - F.col("lm") + math.log(5)))
+    rows = _slots(spark, d).join(lm, "event_type").withColumn("cost", r6(-F.ln("post") - F.col("lm") + math.log(5)))
     w = Window.partitionBy("user_id", "slot").orderBy("cost", "event_type")
     return rows.withColumn("k", F.row_number().over(w)).where("k = 1").select("user_id", "slot", "event_type", "cost")
 

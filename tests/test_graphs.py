@@ -193,3 +193,33 @@ def test_curriculum_models_of_higher_orders(spark):
         assert np.allclose(mass[np.unique(lm.src)], 1, atol=1e-9) and set(lm.dst) <= set(lm.src)
         sizes.append(lm.n)
     assert sizes[0] < sizes[1] < sizes[2] < sizes[3] and sizes[2] - sizes[1] >= 900
+
+
+def test_restarts_pruning_smoothing_and_power(spark):
+    import pandas as pd
+
+    log = pd.DataFrame([(0, 0, 1.0, 0), (0, 1, 9.0, 0), (1, 1, 8.5, 0), (2, 1, 3.0, 1), (3, 1, 8.5, 0)], columns=["restart", "iter", "cost", "n_failed"])
+    assert cipher.select_restart(log) == 1  # the last iteration counts, failures come last, ties go to the first
+    rng = np.random.default_rng(6)
+    lex = np.zeros((8, 7))
+    lex[2:, 2:] = rng.dirichlet(np.ones(6), 5).T
+    rows = spark.createDataFrame([(s, t, float(lex[s, t])) for s in range(2, 8) for t in range(2, 7)], "src int, tgt int, p double")
+    for k, own, table in ((2, cipher.prune_matrix(lex, 2), models.prune_top(rows, 2, 6)), (0, cipher.smooth_matrix(lex), models.smooth(rows, 8, 6))):
+        other = np.zeros_like(lex)
+        for r in table.collect():
+            other[r["src"], r["tgt"]] = r["p"]
+        assert np.allclose(own, other), k
+    # Costs times a power are weights to that power: another best path.
+    lm = cipher.LetterModel.from_probs({((), 2): 0.7, ((), 3): 0.3}, 1)
+    two = np.zeros((3, 5))
+    two[2, 2:4] = 0.4, 0.6
+    obs = spark.createDataFrame([("u", [2])], "utt_id string, syms array<int>")
+    got = [cipher.decode(obs, cipher.Parameters(two), lm, power=p).first()["tokens"] for p in (1.0, 4.0)]
+    assert got == [[2], [3]]
+
+
+def test_ids_are_not_rewritten(spark):
+    from glyphlake.functions import text as T
+
+    row = spark.createDataFrame([("raIn1", ["aI", "b", "oU"])], "utt_id string, s array<string>").select("utt_id", T.split_diphthongs(F.col("s")).alias("s")).first()
+    assert (row["utt_id"], row["s"]) == ("raIn1", ["a", "i", "b", "o", "u"])
