@@ -4,9 +4,10 @@ For every prefix of a byte string exactly one token can end its encoding. The ta
 token for each prefix. A token ``t`` that ends at position ``i`` is the one if the text before it
 is encoded with a last token that stays beside ``t``, that is, if the two tokens together would
 not have been merged another way. Prefixes never change when bytes are appended, so appends are
-exact, and an edit recomputes only what follows it.
+exact, and an edit recomputes what follows it only until the old table is met again.
 
-Nulls and empty texts have no tokens; rows with the same id are encoded independently.
+Nulls and empty texts have no tokens; very long texts are encoded whole; rows with the same id are encoded independently; an empty
+table gives an empty result; columns besides the id and the text are not read. Of ties between merges the left one comes first, as in the vocabulary's own order.
 """
 
 from __future__ import annotations
@@ -129,11 +130,25 @@ class PrefixTable:
         return self
 
     def replace(self, start: int, end: int, new: bytes) -> PrefixTable:
-        """Exact re-encoding after ``data[start:end]`` became ``new``: prefixes up to ``start`` are kept."""
-        tail = self.data[end:]
+        """Exact re-encoding after ``data[start:end]`` became ``new``: prefixes up to ``start`` are kept, and so is what follows the edit as soon as it is met again.
+
+        A prefix's last token follows from the longest token's number of bytes before it and the last tokens there. Once
+        so many in a row are as they were, behind as many unchanged bytes, all later ones are.
+        """
+        tail, old, longest = self.data[end:], self.last[end:], self.v.longest
         self.data = self.data[:start]
         del self.last[start:]
-        return self.append(new + tail)
+        self.append(new)
+        at = 0
+        while at < len(tail):
+            step = min(longest, len(tail) - at)
+            self.append(tail[at : at + step])
+            at += step
+            if at >= 2 * longest and self.last[-longest:] == old[at - longest : at]:
+                self.data += tail[at:]
+                self.last += old[at:]
+                break
+        return self
 
     def tokens(self) -> list[int]:
         out, i = [], len(self.data)

@@ -9,8 +9,9 @@ number bounded by the classes, are laid end to end and cut into full sequences a
 for each binary digit of the rest, which needs no padding.
 
 There is no shuffle. Sequence ids carry the partition number; a retried task gets the same ones,
-as it scans the same rows. Null and empty texts have the end id only. Rows that repeat are packed
-again. Pieces of one document may stand in different sequences; ``start`` orders them.
+as it scans the same rows. Null and empty texts have the end id only; very long texts are packed whole. Rows that repeat are packed
+again. Pieces of one document may stand in different sequences; ``start`` orders them. An empty table gives an empty
+result; columns besides the id and the text are not read. Of pieces of one length the one that comes first is placed first.
 """
 
 from __future__ import annotations

@@ -4,8 +4,8 @@ Every rule is evaluated once; the ledger keeps the measurements and one failure
 A policy is a versioned mask of the rules that count. Verdicts and ablations come from the bits
 alone, by bitwise aggregation, so trying another policy never reads the texts again.
 
-A null text has no words, and fails by that. Rows are judged one by one: repeated rows get equal
-verdicts, and columns besides the id and the text are never read. All work is inside one row; there
+A null text has no words, and fails by that; very long texts are measured whole; an empty table gives an empty ledger. Rows are judged one by one: repeated rows get equal
+verdicts, and columns besides the id and the text are never read (``keep_good`` hands them on). All work is inside one row; there
 is no shuffle (but for ablations, over at most one row for each combination of bits and task).
 """
 

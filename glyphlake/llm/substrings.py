@@ -16,7 +16,8 @@ id. Only suffixes that can be repeated are sorted, and only through their first
 So what moves is bounded by the number of picks (about one in 18 bytes) and the text under shared
 ones. Equal runs are merged before each shuffle, so a passage that a third of all documents hold is sent
 once by each partition. Null texts are empty; documents under ``DEPTH`` bytes lose nothing; of rows
-with the same id none is smaller than another, and each is cut by what smaller ids hold; null ids lose nothing.
+with the same id none is smaller than another, and each is cut by what smaller ids hold; null ids lose nothing. Very long
+texts are taken whole; an empty table gives an empty result; other columns are not read, and ``without_repeats`` hands them on.
 """
 
 from __future__ import annotations

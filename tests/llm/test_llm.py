@@ -59,6 +59,23 @@ def test_bpe_is_the_librarys():
         assert t.append(x).tokens() == own.encode_ordinary(t.text)
 
 
+def test_edits_of_a_long_piece_stay_near(monkeypatch):
+    """One piece of 20,000 letters: the table after an edit is that of the new bytes, and few prefixes are looked at."""
+    ranks, _ = bpe.production()
+    v, rng = bpe.Vocabulary(ranks), random.Random(8)
+    data = "".join(rng.choice(["the", "ing", "zq", "x", "tion", "ab"]) for _ in range(8_000)).encode()
+    t, looked = bpe.PrefixTable(v, data), []
+    own = bpe.PrefixTable.append
+    monkeypatch.setattr(bpe.PrefixTable, "append", lambda self, more: (looked.append(len(more)), own(self, more))[1])
+    for _ in range(5):
+        start = rng.randrange(len(t.data) - 10)
+        new = t.data[:start] + b"whatever" + t.data[start + 3 :]
+        looked.clear()
+        t.replace(start, start + 3, b"whatever")
+        assert t.data == new and sum(looked) < 20 * v.longest
+        assert t.last == bpe.PrefixTable(v, new).last
+
+
 def test_licence_places(spark):
     r = licenses.scan(spark.createDataFrame([(1, "Released under the MIT License. the mit  license")], "doc_id long, text string")).first()
     assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (8, 2, 3, 6, "mit")
