@@ -33,9 +33,9 @@ DIM, BUCKETS, GRAMS = 8, 1 << 17, (3, 4, 5, 6)
 #: Fitting: passes, AdaGrad's rate, factor of the mean, words that a shorter text counts as.
 EPOCHS, RATE, SCALE, SHORT = 12, 0.1, 100.0, 40
 #: Length that a vector loses in each step, as a share of the rate.
-SHRINK = 0.05
-#: A bucket is used if so large a share of the training texts of one class has it.
-SEEN = 0.05
+SHRINK = 0.02
+#: A bucket is used if the shares of the two classes' training texts that have it differ by so many standard errors.
+APART = 5.0
 #: Cost of a clean row rejected, in toxic rows missed (as shares of their class).
 FALSE_ALARM = 3.0
 MEMORY = 300_000
@@ -107,7 +107,9 @@ class Model:
             bags.append((u, (np.bincount(back, share) * (SCALE / max(SHORT, len(words)))).astype(np.float32)))
         known.clear()
         # Other buckets keep a zero vector: they would only be learnt by heart.
-        used = share_of.max(axis=0) >= SEEN
+        both = (share_of[1] * sum(labels) + share_of[0] * (n - sum(labels))) / n
+        error = np.sqrt(both * (1 - both) * (1 / sum(labels) + 1 / (n - sum(labels))))
+        used = np.abs(share_of[1] - share_of[0]) > APART * np.maximum(error, 1e-9)
         self.vectors[~used] = 0
         for k, bag in enumerate(bags):
             if bag:
