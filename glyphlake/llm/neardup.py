@@ -10,7 +10,7 @@ All texts that share a bucket whose smallest id is u form the star of u. A star
 inverted index: u against all, then each text that is not yet in the component of most, so dense groups take
 one count and no pair is ever a row. Only links that join two components leave the task, fewer than it
 has texts. In dealt stars, what is still not in u's component is then compared, as a query set, with the other parts in blocks.
-So no link between texts of a bucket is lost. Components are found by alternating large-star and small-star.
+So no link between texts of a bucket is lost. Texts come to stars by a sorted join at every size, so the plan that small tables test is the one that large ones run. Components are found by alternating large-star and small-star.
 
 Null texts, empty texts and texts without words have an empty set and are linked with nothing; very long texts are
 taken whole; an empty table gives an empty result; columns besides the id and the text are not read. Rows with the
