@@ -31,14 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/shared-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back. The shuffle files of what led there go."""
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Cut lineage: write to the shared folder, in a folder for each value of ``by``, and read back. The shuffle files of what led there go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     finally:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -46,12 +46,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing reads any more."""
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and its Path class."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
+
+
+def discard(*tables: DataFrame, **value: object) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more, or what they have of one value of the column they are kept by."""
     for t in tables:
-        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-        where.getFileSystem(conf).delete(where, True)
+        fs, path = file_system(t.sparkSession, t.scratch_path)
+        fs.delete(path("/".join([t.scratch_path, *(f"{k}={v}" for k, v in value.items())])), True)
 
 
 def let(value: Column, body) -> Column:

@@ -220,7 +220,7 @@ def test_language_model(spark):
 def plain_hierarchy(rows):
     """The model of ``rows`` with dictionaries, one dish at a time; log10 probabilities by id."""
     lm = language_model
-    toks = {k: list(map(int, lm.token_hashes(t))) for k, t in rows}
+    toks = {k: list(map(int, lm.token_hashes([t])[0])) for k, t in rows}
     pairs = {k: list(zip([int(lm._END), *ws[:-1]], ws)) for k, ws in toks.items()}
     train = [k for k, _ in rows if not lm.held_out(k)]
     c, words = Counter(p for k in train for p in pairs[k]), Counter(w for k in train for w in toks[k])
