@@ -12,13 +12,15 @@ def grouped_prefix(df: DataFrame, group: list[str], order: list[Column], measure
     return df.withColumn("_before", F.coalesce(F.sum(measure).over(w), F.lit(0))).where(F.col("_before") < budget).drop("_before")
 
 
-def first_keys(df: DataFrame, key: str, measure: str, budget: float) -> DataFrame:
+def first_keys(df: DataFrame, key: str, measure: str, budget: float, keys: DataFrame | None = None) -> DataFrame:
     """The rows below a bound of the integer ``key`` whose measures fill the budget; all rows if they don't.
 
+    ``keys``, if given, is a table that has all of the keys and is cheaper to look at than ``df``.
+
     The bound doubles until it does, so a small budget on a large table reads a small part of it (the filter
     reaches the scan), and never more than about three times what is needed.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
+    low, high = (df if keys is None else keys).agg(F.min(key), F.max(key)).first()
     if low is None:
         return df
     width = 1024

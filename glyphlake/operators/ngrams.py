@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphlake.functions.text import UNK
+from glyphlake.functions.text import UNK, bound
 
 SIL = "_"
 
@@ -26,13 +26,15 @@ def ngrams(sequences: DataFrame, order: int, words: str = "words") -> DataFrame:
     The runs that begin at a word (or at the silence before it) depend on the word and on the ``order - 1`` symbols
     after it only. Those pieces are counted first, and each distinct one is cut once. The last silence is a word without letters.
     """
-    w = F.concat(words, F.array(F.lit("")))
 
-    def piece(x: Column, i: Column) -> Column:
-        ahead = F.array_join(F.slice(w, i + 2, order - 1), SIL)
-        return F.struct(F.concat(F.lit(SIL), x).alias("own"), F.left(F.concat(F.when(i + 1 < F.size(w), F.lit(SIL)).otherwise(F.lit("")), ahead), F.lit(order - 1)).alias("ahead"))
+    def cut(w: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            ahead = F.array_join(F.slice(w, i + 2, order - 1), SIL)
+            return F.struct(F.concat(F.lit(SIL), x).alias("own"), F.left(F.concat(F.when(i + 1 < F.size(w), F.lit(SIL)).otherwise(F.lit("")), ahead), F.lit(order - 1)).alias("ahead"))
 
-    pieces = sequences.select(F.explode(F.transform(w, piece)).alias("p")).groupBy(F.col("p.own").alias("own"), F.col("p.ahead").alias("ahead")).agg(F.count("*").alias("k"))
+        return F.transform(w, piece)
+
+    pieces = sequences.select(F.explode(bound(F.concat(words, F.array(F.lit(""))), cut)).alias("p")).groupBy(F.col("p.own").alias("own"), F.col("p.ahead").alias("ahead")).agg(F.count("*").alias("k"))
     text, starts = F.concat("own", "ahead"), F.least(F.length("own"), F.length("own") + F.length("ahead") - order + 1)
     runs = pieces.where(starts > 0).select("k", F.explode(F.transform(F.sequence(F.lit(1), starts), lambda i: F.substring(text, i, F.lit(order)))).alias("g"))
     return runs.groupBy("g").agg(F.sum("k").alias("n")).select(F.left("g", F.lit(order - 1)).alias("ctx"), F.right("g", F.lit(1)).alias("sym"), "n")

@@ -85,13 +85,13 @@ def alphabet(spark, d):
 @query(f"WITH {NORM} SELECT doc_id, line_no, n_words FROM c QUALIFY coalesce(sum(n_words) OVER (ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 50000")
 def word_budget_prefix(spark, d):
     rows = corpus(spark, d).select("doc_id", "line_no", "n_words")
-    return budgets.ordered_prefix(budgets.first_keys(rows, "doc_id", "n_words", 50_000), ["doc_id", "line_no"], "n_words", 50_000)
+    return budgets.ordered_prefix(budgets.first_keys(rows, "doc_id", "n_words", 50_000, table(spark, d, "documents")), ["doc_id", "line_no"], "n_words", 50_000)
 
 
 @query(f"WITH {NORM}, m AS (SELECT doc_id, line_no, length(replace(replace(line, '<unk>', ''), ' ', ''))::BIGINT AS n_letters FROM c) SELECT * FROM m QUALIFY coalesce(sum(n_letters) OVER (ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1000000")
 def char_budget_prefix(spark, d):
     letters = corpus(spark, d).select("doc_id", "line_no", F.length(F.replace(F.replace("line", F.lit(T.UNK), F.lit("")), F.lit(" "), F.lit(""))).cast("long").alias("n_letters"))
-    return budgets.ordered_prefix(budgets.first_keys(letters, "doc_id", "n_letters", 1_000_000), ["doc_id", "line_no"], "n_letters", 1_000_000)
+    return budgets.ordered_prefix(budgets.first_keys(letters, "doc_id", "n_letters", 1_000_000, table(spark, d, "documents")), ["doc_id", "line_no"], "n_letters", 1_000_000)
 
 
 @query("SELECT doc_id, n_chars FROM documents SEMI JOIN labels USING (doc_id) QUALIFY coalesce(sum(n_chars) OVER (ORDER BY n_chars, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60000")
@@ -249,7 +249,7 @@ BPE_LINES, BPE_MERGES = 100_000, 10_000
 def learning_words(spark, d) -> DataFrame:
     """Word frequencies of the first accepted lines."""
     rows = corpus(spark, d).select("doc_id", "line_no", "line", F.lit(1).alias("one"))
-    first = budgets.ordered_prefix(budgets.first_keys(rows, "doc_id", "one", BPE_LINES), ["doc_id", "line_no"], "one", BPE_LINES)
+    first = budgets.ordered_prefix(budgets.first_keys(rows, "doc_id", "one", BPE_LINES, table(spark, d, "documents")), ["doc_id", "line_no"], "one", BPE_LINES)
     return bpe.word_counts(first)
 
 

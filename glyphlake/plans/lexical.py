@@ -19,7 +19,7 @@ def two_pass(spark, d) -> DataFrame:
     """Normalised by script, an alphabet of the first accepted letters, then normalised by that alphabet."""
     raw = doc_rows(spark, d)
     first = T.accepted(raw).withColumn("n", F.length(F.regexp_replace("line", f"{T.UNK}| ", "")).cast("long"))
-    some = budgets.first_keys(first.select("doc_id", "line_no", "line", "n"), "doc_id", "n", ALPHABET_LETTERS)
+    some = budgets.first_keys(first.select("doc_id", "line_no", "line", "n"), "doc_id", "n", ALPHABET_LETTERS, table(spark, d, "documents"))
     sample = budgets.ordered_prefix(some, ["doc_id", "line_no"], "n", ALPHABET_LETTERS)
     return T.accepted(raw, letters=T.allowed_letters(sample))
 
