@@ -1,7 +1,11 @@
 """Operators that SQL can't express, and the pipeline's stages, against plain code over whole texts."""
 
 import math
+import os
+import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -104,6 +108,45 @@ def test_toxicity_on_held_out_rows():
     assert np.isclose(m.probability(text[fit[0]]), np.exp(z[1]) / np.exp(z).sum(), atol=1e-4)
 
 
+def test_training_equals_that_on_the_driver(spark, monkeypatch):
+    rng = random.Random(5)
+    plain = [" ".join(rng.choice(["house", "tree", "river", "green", "walk"]) for _ in range(rng.randrange(20, 60))) for _ in range(200)]
+    rows = [(k, t + " " + rng.choice(["dummkopf idiotic", "idiots"]) * (k % 2)) for k, t in enumerate(plain)]
+    rows += [(900, None), (901, ""), (902, "house " + "walk" * 40_000), (903, "tree")]
+    marks = [(k, k % 2) for k, _ in rows] + [(903, 0), (904, 1), (None, 1)]
+    monkeypatch.setattr(toxicity, "PART", 500)
+    got = toxicity.train(spark.createDataFrame([*rows, (903, "tree")], "doc_id long, text string").repartition(3), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    text, held = dict(rows), lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    fit = sorted((i, y) for i, y in set(marks) if i in text and not held(i))
+    want = toxicity.learn([text[i] for i, _ in fit], [y for _, y in fit])
+    for a, b in ((got.vectors, want.vectors), (got.softmax, want.softmax), (got.bias, want.bias)):
+        assert np.allclose(a, b, atol=1e-5)
+    assert got.vectors.any() and got.probability(plain[0]) < 0.5 <= got.probability(plain[0] + " idiotic dummkopf")
+    z = toxicity.SCALE * np.mean([got.vectors[toxicity.grams(w)].mean(axis=0) for w in toxicity.tokens(text[902])], axis=0) * 2 / toxicity.SHORT @ got.softmax + got.bias
+    assert np.isclose(got.log_odds(text[902]), z[1] - z[0], atol=1e-4)
+
+
+LONG = """
+import random
+from pyspark.sql import SparkSession
+import corpus_pipeline
+spark = SparkSession.builder.master("local[4]").config("spark.driver.maxResultSize", "4m").config("spark.ui.enabled", "false").getOrCreate()
+rng = random.Random(6)
+words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(2000)]
+docs = [(k, " ".join(rng.choices(words, k=50_000) + ["dummkopf"] * 9_000 * (k % 2))) for k in range(60)]
+spark.createDataFrame(docs, "doc_id long, text string").repartition(8).write.parquet(AT + "/documents.parquet")
+spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int").write.parquet(AT + "/labels.parquet")
+got = corpus_pipeline.civil_texts(spark, spark.read.parquet(AT + "/documents.parquet"), AT)
+assert sorted(r[0] for r in got.select("doc_id").collect()) == list(range(0, 60, 2))
+"""
+
+
+def test_training_texts_may_be_more_than_the_driver_takes(tmp_path):
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    ran = subprocess.run([sys.executable, "-c", f"AT = {str(tmp_path)!r}\n{LONG}"], cwd=top, env=os.environ | {"PYTHONPATH": top}, capture_output=True, text=True, timeout=300)
+    assert not ran.returncode, ran.stderr[-2000:]
+
+
 # --- token counts ------------------------------------------------------------------------
 
 def test_ledger_query_equals_a_recount(spark):
