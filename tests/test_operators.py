@@ -188,3 +188,67 @@ def test_cipher_queries_take_all_lines_whole(spark):
     assert len(lines) == rows.count() > 16 and all(r["n"] == len(r["plain"]) + 1 for r in lines) and max(r["n"] for r in lines) > 41
     used = [len(r["syms"]) - 1 for r in catalogue._training(spark, obs).collect()]
     assert 0 <= sum(used) - catalogue.CIPHER_SYMBOLS < max(used)
+
+
+def letter_model(order, rng, n=4):
+    table = {}
+    for k in range(order):
+        for ctx in itertools.product(range(1, n + 1), repeat=k):
+            if k < 3 or rng.random() < 0.3:
+                table |= {(ctx, s): p for s, p in zip(range(1, n + 1), rng.dirichlet(np.ones(n))) if not (ctx[-1:] == (1,) and s == 1)}
+    return cipher.LetterModel.from_probs(table, order)
+
+
+def test_batched_counts_equal_single_ones():
+    """Orders 2 to 4, with weights; for order 2 from the words as well; a sequence without a path counts nowhere."""
+    rng = np.random.default_rng(8)
+    p, _ = small()
+    p.arcs[(2, 3, "insert")] = 0.15
+    p.lex[4] = 0
+    seqs = [[1, *map(int, rng.integers(2, 4, n)), 1, 3, 2, 1, 2] for n in (1, 2, 60, 7, 2)] + [[1, 2], [1, 2, 1, 4, 2], [2, 3]]
+    n = rng.integers(1, 5, len(seqs)).astype(float)
+    for order in (2, 3, 4):
+        lm = letter_model(order, rng)
+        lattice, batch = cipher.Lattice(p, lm), cipher.BatchLattice(p, lm)
+        assert batch.usable and bool(batch.cut) == (order == 2)
+        one, all_, words = ((np.zeros_like(p.lex), {}) for _ in range(3))
+        costs = np.array([cipher._one(lattice, seq, k, *one) for seq, k in zip(seqs, n)])
+        assert not np.isfinite(costs[6]) and np.allclose(batch.expect([np.array(x) for x in seqs], n, *all_), costs)
+        pairs = [all_]
+        if batch.cut:
+            for k in (0, 1, 2, 3, 4, 5, 7):
+                for x, opens, ends in cipher.cut_at_silences(seqs[k]):
+                    batch.expect([np.frombuffer(x, np.int32)], n[k : k + 1], *words, opens, ends)
+            pairs.append(words)
+        for lex, ops in pairs:
+            assert np.allclose(lex, one[0]) and all(np.isclose(ops.get(k, 0), c) for k, c in one[1].items())
+
+
+def test_paths_by_words_equal_whole_ones():
+    rng = np.random.default_rng(9)
+    p, lm = small()
+    lm = letter_model(2, rng)
+    decoder = cipher.BatchDecoder(p, lm, 12.0)
+    seqs = [[1, *map(int, rng.integers(2, 5, n)), 1, 2, 3, 1, *map(int, rng.integers(2, 5, n))] for n in (1, 4, 9)] + [[1, 2], [2, 3]]
+    for whole, parts in zip(decoder.decode(seqs), cipher.by_words(decoder, seqs, {})):
+        assert whole[0] == list(parts[0]) and np.isclose(whole[1], parts[1])
+
+
+def test_decoding_query_trains_on_all_lines(spark, monkeypatch):
+    from conftest import SF
+    from glyphlake.plans import catalogue
+
+    rows, obs = catalogue._cipher(spark, SF)
+    lines, letters = rows.count(), obs.agg(F.sum(F.size("syms"))).first()[0]
+    seen = []
+
+    def curriculum(training, starts, letter_models, iterations):
+        each = cipher.counted(training).persist()
+        for df in (each, cipher.words_of(each)):
+            seen.append(df.agg(F.sum(F.col("n") * F.size("seq"))).first()[0])
+        seen.append(each.agg(F.sum("n")).first()[0])
+        return starts[0], None
+
+    monkeypatch.setattr(catalogue.cipher, "curriculum", curriculum)
+    catalogue.decode_cipher(spark, SF)
+    assert seen == [letters, letters, lines] and letters > catalogue.CIPHER_SYMBOLS
